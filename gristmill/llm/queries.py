@@ -6,17 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, mixing, quality_classifier, quality_rules, url_filter
+from . import bpe, license_scan, line_dedup, minhash, mixing, quality_classifier, quality_rules, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(table(spark, sf_dir, "documents"), threshold=0.85, width=5)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
@@ -48,5 +56,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_token_counts, op5_mix_sources, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_line_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_bpe_round_trip, op3_minhash_dedup, op4_token_counts, op5_mix_sources, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_line_dedup, op10_license_scan)}
 SQL: dict[str, str] = {}
