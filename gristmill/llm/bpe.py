@@ -442,6 +442,28 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return src.mapInArrow(run, "k long, ids array<int>").withColumnRenamed("k", id_col)
 
 
+def encode_rows(docs: DataFrame, path: str, keep=("doc_id", "lang", "source"), text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of each row, with ``n_tokens``, ``ids array<int>`` and ``decoded_sha256``, the digest of the decoded ids."""
+    key, raw = _shipped(docs.sparkSession, path)
+    src = docs.select(*[docs[c] for c in keep], docs[text_col].alias("t"))
+    n = len(keep)
+
+    def run(batches):
+        tok = worker_tokenizer(key, raw.value)
+        for b in batches:
+            start = 0
+            for texts in runs(b.column(n)):
+                tok.warm(texts)
+                ids = [*map(tok.encode, texts)]
+                digests = [hashlib.sha256(tok.decode(x).encode()).hexdigest() for x in ids]
+                part = [b.column(i).slice(start, len(texts)) for i in range(n)]
+                start += len(texts)
+                yield pa.RecordBatch.from_arrays([*part, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())], [*keep, "n_tokens", "ids", "decoded_sha256"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n])
+    return src.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(doc_id, decoded string)``; null lists decode to an empty string."""
     key, raw = _shipped(encoded.sparkSession, path)

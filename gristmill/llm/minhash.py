@@ -264,12 +264,12 @@ def full_sets(docs: DataFrame, members: DataFrame, width: int, id_col: str, text
                 data = hashes.tobytes()
                 sets = [data[e - 8 * n : e] for e, n in zip(ends.tolist(), counts.tolist())]
                 mine = (h1.view(np.int64) == b.column(3).to_numpy()) & (h2.view(np.int64) == b.column(4).to_numpy())  # not another text under the same id
-                out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], ["cid", "block", "k", "set"])
+                out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary()), b.column(3)], ["cid", "block", "k", "set", "h1"])
                 yield out.filter(pa.array(mine))
 
     text = docs.select(docs[id_col].cast("long").alias("k"), docs[text_col].alias("t"))
     joined = text.join(members, "k").select("cid", "block", "k", "h1", "h2", "t")
-    return joined.mapInArrow(run, "cid long, block int, k long, set binary")
+    return joined.mapInArrow(run, "cid long, block int, k long, set binary, h1 long")
 
 
 def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,13 +279,13 @@ def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id
     Jaccard coefficient of ``threshold`` (a whole percentage) or more; ``component_id`` is
     the least id reachable.  Words are runs other than the six ASCII blanks, A-Z lowered; a
     text of fewer words is one shingle, one without words and a null text have no set
-    and no link.  Rows of one id each keep their own text's component; a null id has
-    no component and stays kept.  Other columns are not read.
+    and no link.  Rows that share an id share a component; a null id has none
+    and stays kept.  Other columns are not read.
     """
     num, den = round(threshold * 100), 100
     sig = cut(signatures(docs, width, id_col, text_col))
     sets = cut(sig.where("n > 0 and k is not null").groupBy("h1", "h2").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.first("tokens").alias("tokens")))
-    # one id may stand for several texts; then the least text hash keeps the id and the others get links below
+    # an id that stands for several texts is one node with all their links
     links = coarse_links(sets.select("k", "tokens"))
     edges = links[0]
     for more in links[1:]:
@@ -295,7 +295,7 @@ def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id
     member = cut(member)
     sizes = member.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = member.join(sizes, "cid").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "k"), F.col("blocks")).cast("int"))
-    held = cut(full_sets(docs, placed.select("k", "cid", "block", "h1", "h2"), width, id_col, text_col).dropDuplicates(["k", "cid"]))
+    held = cut(full_sets(docs, placed.select("k", "cid", "block", "h1", "h2"), width, id_col, text_col).dropDuplicates(["k", "cid", "h1"]))
 
     def within(batches):
         union = Union()
@@ -329,7 +329,7 @@ def across_blocks(held: DataFrame, many: DataFrame, first: DataFrame, num: int,
     pass_1 = cut(_meet(marked.withColumn("fringe", F.col("star")).withColumn("label", F.col("k")), num, den))
     # pass 2: all that is still outside the largest component
     comps = connected_components(first.unionByName(pass_1))
-    label = cut(large.select("cid", "block", "blocks", "k").join(comps, large["k"] == comps["node"], "left").select("cid", "k", F.coalesce("component", "k").alias("label")))
+    label = cut(large.select("cid", "block", "blocks", "k").join(comps, large["k"] == comps["node"], "left").select("cid", "k", F.coalesce("component", "k").alias("label")).distinct())
     top = label.groupBy("cid", "label").agg(F.count("*").alias("m")).groupBy("cid").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     with_label = large.join(label, ["cid", "k"]).join(top, "cid").withColumn("fringe", F.col("label") != F.col("main"))
     return pass_1.unionByName(cut(_meet(with_label, num, den)))

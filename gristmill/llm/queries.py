@@ -56,5 +56,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_bpe_round_trip, op3_minhash_dedup, op4_token_counts, op5_mix_sources, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_line_dedup, op10_license_scan)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_bpe_round_trip, op3_minhash_dedup, op4_token_counts, op5_mix_sources, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_line_dedup, op10_license_scan, pipeline)}
 SQL: dict[str, str] = {}
