@@ -51,7 +51,7 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES,
         def against(b: Column) -> Column:
             a = F.size(b)
             scores = [
-                F.when((a * F.lit(threshold / (2 - threshold)) <= n) & (F.lit(float(n)) <= a * F.lit((2 - threshold) / threshold)),
+                F.when((a * F.lit(threshold / (2 - threshold) * (1 - 1e-9)) <= n) & (F.lit(float(n)) <= a * F.lit((2 - threshold) / threshold * (1 + 1e-9))),
                        F.struct((F.lit(2.0) * F.size(F.array_intersect(b, F.lit(s))) / (a + n)).alias("dice"), F.lit(-i).alias("ord"), (-unit["i"]).alias("line")))
                 for i, n, s in table if n
             ]

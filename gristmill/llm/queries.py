@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, license_scan, line_dedup, minhash, mixing, quality_classifier, quality_rules, topk, url_filter
+from .oracles import SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,4 +64,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_bpe_round_trip, op3_minhash_dedup, op4_token_counts, op5_mix_sources, op6_quality_classifier, op7_url_filter, op8_quality_rules, op9_line_dedup, op10_license_scan, pipeline)}
-SQL: dict[str, str] = {}
