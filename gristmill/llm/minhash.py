@@ -4,10 +4,10 @@
    ``COORDINATES`` minwise tokens and a 128-bit hash of the set; equal sets are one node
    from here on.
 2. Independent trees branch documents by selected minwise tokens.  Nodes of one document
-   end there; small nodes are compared exhaustively on sketches (a byte of each
-   token); in a larger node every document is compared with the node's least one, linked
+   end there; small nodes are compared exhaustively on sketches (16 bits of each
+   token); in a larger node every document is compared with the node's least one, the pivot, linked
    if alike, set aside if so alike that its partners are linked as well, and the
-   rest branches again.  This gives coarse groups that hold every link with the
+   rest branches again, until all of a node are linked already.  This gives coarse groups that hold every link with the
    recall stated at ``TREES``.
 3. Inside each coarse group sets are compared in full, small groups whole, large ones
    in blocks: within blocks first, then across blocks for documents whose
@@ -16,9 +16,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -31,8 +33,9 @@ COORDINATES = 64
 TREES, ROOTS = 6, 2
 #: Branches under a node that isn't small, levels, and the size up to which a node is small.
 BRANCHES, LEVELS, SMALL = 2, 6, 24
-#: Share of equal sketch bytes from which two documents are compared in full, and from which one needs no further branching.
-ALIKE, SAME = 0.55, 0.92
+#: Share of equal sketch places from which two documents are compared in full, and from which one needs no further branching:
+#: whoever has a similarity of 0.85 to it differs from it in fewer than 0.33 of the places, but for a chance of 1e-4, and so is alike to the pivot.
+ALIKE, SAME = 0.55, 0.88
 #: Documents and shingles of a block that is compared in one task.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 1_500_000
 FACTORS = shingles.seeds(COORDINATES, 31) | np.uint64(1)
@@ -40,8 +43,8 @@ MASKS = shingles.seeds(COORDINATES, 37)
 
 
 def minwise(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``COORDINATES`` tokens (uint32) of each non-empty set; zeros for an empty one."""
-    out = np.zeros((len(counts), COORDINATES), np.uint32)
+    """``COORDINATES`` tokens (uint64) of each non-empty set; zeros for an empty one."""
+    out = np.zeros((len(counts), COORDINATES), np.uint64)
     full = np.flatnonzero(counts)
     ends = np.cumsum(counts)
     step = 1 << 16  # hashes at a time, which fit a core's cache
@@ -54,7 +57,7 @@ def minwise(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         piece = hashes[lo:hi]
         for k in range(COORDINATES):
             low[a:b, k] = np.minimum(low[a:b, k], np.minimum.reduceat((piece ^ MASKS[k]) * FACTORS[k], edges))
-    out[full] = (low >> np.uint64(32)).astype(np.uint32)
+    out[full] = low
     return out
 
 
@@ -82,8 +85,14 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
         yield batch.slice(start)
 
 
+def lists(table: np.ndarray) -> pa.ListArray:
+    """A list a row."""
+    rows, width = table.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(table.ravel()))
+
+
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``(k, n, h1, h2, tokens)``: size and hash of each text's set, and its tokens as integers."""
+    """``(k, n, h1, h2, roots, sketch)``: size and hash of each text's set, its root tokens, and 16 bits of each token."""
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
@@ -92,11 +101,13 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             for b in pieces(whole, 1):
                 hashes, counts = shingles.text_sets(b.column(1), width)
                 h1, h2 = set_hash(hashes, counts)
-                tokens = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * COORDINATES), pa.array(minwise(hashes, counts).view(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), tokens], ["k", "n", "h1", "h2", "tokens"])
+                tokens = minwise(hashes, counts)
+                roots = lists(tokens[:, : TREES * ROOTS].copy().view(np.int64))
+                sketch = lists((tokens >> np.uint64(24)).astype(np.uint16).view(np.int16))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), roots, sketch], ["k", "n", "h1", "h2", "roots", "sketch"])
 
     src = docs.select(docs[id_col].cast("long").alias("k"), docs[text_col].alias("t"))
-    return src.mapInArrow(run, "k long, n long, h1 long, h2 long, tokens array<int>")
+    return src.mapInArrow(run, "k long, n long, h1 long, h2 long, roots array<long>, sketch array<short>")
 
 
 class Union:
@@ -124,14 +135,12 @@ class Union:
 MOST_LINKS = 200_000
 
 
-def token_bytes(column: pa.Array) -> np.ndarray:
-    """Sketches: the low byte of each token."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return (flat & 255).astype(np.uint8).reshape(-1, COORDINATES)
+def sketches(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
 
 
 def small_node_links(batches):
-    """Rows ``(path, k, tokens)`` sorted by path, at most ``SMALL`` a path: links between alike documents."""
+    """Rows ``(path, k, sketch)`` sorted by path, at most ``SMALL`` a path: links between alike documents."""
     held, union = None, Union()
 
     def compare(path, k, sketch):
@@ -145,7 +154,7 @@ def small_node_links(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        path, k, sketch = b.column(0).to_numpy(), b.column(1).to_numpy(), token_bytes(b.column(2))
+        path, k, sketch = b.column(0).to_numpy(), b.column(1).to_numpy(), sketches(b.column(2))
         if held is not None:
             path, k, sketch = (np.concatenate(x) for x in zip(held, (path, k, sketch)))
         last = int(np.searchsorted(path != path[-1], False)) if path[0] == path[-1] else int(np.flatnonzero(path != path[-1])[-1]) + 1
@@ -160,34 +169,47 @@ def small_node_links(batches):
     yield union.batch()
 
 
-def coarse_links(sig: DataFrame) -> list[DataFrame]:
-    """Links ``(u, v)`` between sets that may be near: the chosen-path trees over ``(k, tokens)``."""
-    paths = F.array(*[F.xxhash64(F.lit(t), F.lit(TREES * r + t), F.col("tokens")[TREES * r + t]) for t in range(TREES) for r in range(ROOTS)])
-    rows = sig.select("k", F.explode(paths).alias("path"))
-    links = []
+def coarse_links(sets: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between sets that may be near: the chosen-path trees over ``(k, roots, sketch)``.
+
+    Every row of a tree carries a label, a document it is already linked with (through pivots of
+    the nodes above); a node under one label has nothing left to link and ends.
+    """
+    paths = F.array(*[F.xxhash64(F.lit(t), F.lit(TREES * r + t), F.col("roots")[TREES * r + t]) for t in range(TREES) for r in range(ROOTS)])
+    rows = sets.select("k", F.col("k").alias("label"), F.explode(paths).alias("path"))
+    held = sets.select("k", "sketch")
+    small_links, stars = [], []
     for level in range(LEVELS + 1):
-        nodes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("k").alias("pivot")).where("m > 1")
-        found = cut(rows.join(nodes, "path"))
-        small = found.where(F.col("m") <= SMALL).select("path", "k").join(sig.select("k", "tokens"), "k").select("path", "k", "tokens")
-        links.append(cut(small.repartition("path").sortWithinPartitions("path").mapInArrow(small_node_links, "u long, v long")))
-        large = found.where((F.col("m") > SMALL) & (F.col("k") != F.col("pivot"))).select("path", "k", "pivot")
+        nodes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min(F.struct("k", "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m > 1 and lo < hi")
+        found = cut(rows.join(nodes.select("path", "m", F.col("pivot.k").alias("pivot"), F.col("pivot.label").alias("own")), "path").join(held, "k"))
+        small = found.where(F.col("m") <= SMALL).select("path", "k", "sketch")
+        small_links.append(cut(small.repartition("path").sortWithinPartitions("path").mapInArrow(small_node_links, "u long, v long")))
+        large = found.where(F.col("m") > SMALL)
         if large.isEmpty():
             break
-        pivots = sig.join(large.select(F.col("pivot").alias("k")).distinct(), "k").select(F.col("k").alias("pivot"), F.col("tokens").alias("of_pivot"))
-        both = large.join(sig.select("k", "tokens"), "k").join(pivots, "pivot")
-        equal = F.size(F.filter(F.zip_with("tokens", "of_pivot", lambda a, b: a.bitwiseAND(255) == b.bitwiseAND(255)), lambda x: x)) / COORDINATES
-        judged = cut(both.select("path", "k", "pivot", equal.alias("equal"), "tokens"))
-        if level == LEVELS:
-            # documents that a path could not part stay together: more to compare, nothing lost
-            links.append(judged.select(F.col("k").alias("u"), F.col("pivot").alias("v")).distinct())
-            break
-        links.append(judged.where(F.col("equal") >= ALIKE).select(F.col("k").alias("u"), F.col("pivot").alias("v")).distinct())
+        pivots = large.where("k = pivot").select("path", F.col("sketch").alias("of_pivot"))
+        equal = F.size(F.filter(F.zip_with("sketch", "of_pivot", lambda a, b: a == b), lambda x: x)) / COORDINATES
+        judged = cut(large.where("k != pivot").join(pivots, "path").select("path", "k", "label", "pivot", "own", equal.alias("equal"), "sketch"))
+        # documents that a path could not part at its end stay together: more to compare, nothing lost
+        stars.append(judged.where(F.col("equal") >= (ALIKE if level < LEVELS else 0.0)).select(F.col("k").alias("u"), F.col("pivot").alias("v")).distinct())
         deeper = []
         for j in range(BRANCHES):
             at = F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
-            deeper.append(F.xxhash64("path", F.lit(j), at, F.get(F.col("tokens"), at)))
-        rows = judged.where(F.col("equal") < SAME).select("k", F.explode(F.array(*deeper)).alias("path"))
-    return links
+            deeper.append(F.xxhash64("path", F.lit(j), at, F.get(F.col("sketch"), at)))
+        rest = judged.where(F.col("equal") < SAME)
+        rows = rest.select("k", F.when(F.col("equal") >= ALIKE, F.col("own")).otherwise(F.col("label")).alias("label"), F.explode(F.array(*deeper)).alias("path"))
+        held = rest.select("k", "sketch").dropDuplicates(["k"])
+    out = small_links[0]
+    for more in small_links[1:]:
+        out = out.unionByName(more)
+    for more in stars[1:]:
+        stars[0] = stars[0].unionByName(more)
+    if stars:
+        # a document met a pivot in each of many nodes: it keeps the least one, and its pivots are linked instead
+        met = cut(stars[0].groupBy("u").agg(F.min("v").alias("v"), F.collect_set("v").alias("all")))
+        hubs = met.where("size(all) > 1").select(F.explode("all").alias("u"), "v").where("u != v").distinct()
+        out = out.unionByName(met.select("u", "v")).unionByName(hubs)
+    return out
 
 
 def near(a: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -250,12 +272,28 @@ def by_group(batches, n_keys: int, done):
         done(rows)
 
 
+@contextmanager
+def bloom_join(spark: SparkSession):
+    """Joins planned inside may test the larger side against a Bloom filter (8 MB at most) of the smaller one before its shuffle."""
+    at = "spark.sql.optimizer.runtime.bloomFilter."
+    want = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g", "expectedNumItems": "4000000", "numBits": "67108864"}
+    before = {k: spark.conf.get(at + k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(at + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(at + k) if v is None else spark.conf.set(at + k, v)
+
+
 def full_sets(docs: DataFrame, members: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``members`` with ``set binary``: the sorted shingle hashes of document ``k``'s text."""
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
+        seen: set = set()  # of a task; what other tasks repeat is compared twice, to no harm
         for whole in batches:
             for b in pieces(whole, whole.num_columns - 1):
                 hashes, counts = shingles.text_sets(b.column(b.num_columns - 1), width)
@@ -263,12 +301,14 @@ def full_sets(docs: DataFrame, members: DataFrame, width: int, id_col: str, text
                 ends = np.cumsum(counts) * 8
                 data = hashes.tobytes()
                 sets = [data[e - 8 * n : e] for e, n in zip(ends.tolist(), counts.tolist())]
-                mine = (h1.view(np.int64) == b.column(3).to_numpy()) & (h2.view(np.int64) == b.column(4).to_numpy())  # not another text under the same id
+                new = [(x := (i, h)) not in seen and not seen.add(x) for i, h in zip(b.column(2).to_pylist(), h1.tolist())]
+                mine = np.array(new, bool) & (h1.view(np.int64) == b.column(3).to_numpy()) & (h2.view(np.int64) == b.column(4).to_numpy())  # not another text under the same id
                 out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary()), b.column(3)], ["cid", "block", "k", "set", "h1"])
                 yield out.filter(pa.array(mine))
 
     text = docs.select(docs[id_col].cast("long").alias("k"), docs[text_col].alias("t"))
-    joined = text.join(members, "k").select("cid", "block", "k", "h1", "h2", "t")
+    # the filter holds for all rows; it lets the optimizer build a Bloom filter of the members' ids
+    joined = text.join(members.where("block >= 0"), "k").select("cid", "block", "k", "h1", "h2", "t")
     return joined.mapInArrow(run, "cid long, block int, k long, set binary, h1 long")
 
 
@@ -284,18 +324,15 @@ def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id
     """
     num, den = round(threshold * 100), 100
     sig = cut(signatures(docs, width, id_col, text_col))
-    sets = cut(sig.where("n > 0 and k is not null").groupBy("h1", "h2").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.first("tokens").alias("tokens")))
+    sets = cut(sig.where("n > 0 and k is not null").groupBy("h1", "h2").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")))
     # an id that stands for several texts is one node with all their links
-    links = coarse_links(sets.select("k", "tokens"))
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    groups = connected_components(edges)
+    groups = connected_components(coarse_links(sets.select("k", "roots", "sketch")))
     member = sets.join(groups, sets["k"] == groups["node"]).select("k", "n", "h1", "h2", F.col("component").alias("cid"))
     member = cut(member)
     sizes = member.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = member.join(sizes, "cid").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "k"), F.col("blocks")).cast("int"))
-    held = cut(full_sets(docs, placed.select("k", "cid", "block", "h1", "h2"), width, id_col, text_col).dropDuplicates(["k", "cid", "h1"]))
+    placed = cut(member.join(sizes, "cid").select("k", "cid", F.pmod(F.xxhash64(F.lit(1), "k"), F.col("blocks")).cast("int").alias("block"), "h1", "h2"))
+    with bloom_join(docs.sparkSession):
+        held = cut(full_sets(docs, placed, width, id_col, text_col))
 
     def within(batches):
         union = Union()
