@@ -20,7 +20,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -29,10 +29,12 @@ from .graph import connected_components
 
 COORDINATES = 64
 #: Trees and branches at each root: 12 tokens are tried.  A pair of similarity s meets under none with
-#: probability (1 - s) ** 12: 1.3e-10 at 0.85, 4e-9 at 0.8; each further level under a large node loses 3 % of its paths at most.
+#: probability (1 - s) ** 12: 1.3e-10 at 0.85, 4e-9 at 0.8.
 TREES, ROOTS = 6, 2
-#: Branches under a node that isn't small, levels, and the size up to which a node is small.
-BRANCHES, LEVELS, SMALL = 2, 6, 24
+#: A node that isn't small branches once, and one in ``SECOND`` twice: as 1.2 * 0.85 is about 1, a pair at the threshold is expected
+#: in as many nodes of each level as under the roots, while unlike ones part.  A pair of 0.85 that is in such nodes only has left
+#: all of them by the last level with a chance of 2e-4; levels, and the size up to which a node is small and compared exhaustively.
+SECOND, LEVELS, SMALL = 5, 6, 200
 #: Share of equal sketch places from which two documents are compared in full, and from which one needs no further branching:
 #: whoever has a similarity of 0.85 to it differs from it in fewer than 0.33 of the places, but for a chance of 1e-4, and so is alike to the pivot.
 ALIKE, SAME = 0.55, 0.88
@@ -172,18 +174,18 @@ def small_node_links(batches):
 def coarse_links(sets: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between sets that may be near: the chosen-path trees over ``(k, roots, sketch)``.
 
-    Every row of a tree carries a label, a document it is already linked with (through pivots of
-    the nodes above); a node under one label has nothing left to link and ends.
+    Every document has a label, one that it is already linked with (the least it met through
+    pivots of earlier levels); a node under one label has nothing left to link and ends.
     """
     paths = F.array(*[F.xxhash64(F.lit(t), F.lit(TREES * r + t), F.col("roots")[TREES * r + t]) for t in range(TREES) for r in range(ROOTS)])
-    rows = sets.select("k", F.col("k").alias("label"), F.explode(paths).alias("path"))
-    held = sets.select("k", "sketch")
-    small_links, stars = [], []
+    held = sets.select("k", "sketch", F.col("k").alias("label"), paths.alias("paths"))
+    small, stars = None, []
     for level in range(LEVELS + 1):
+        rows = held.select("k", "label", F.explode("paths").alias("path"))
         nodes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min(F.struct("k", "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m > 1 and lo < hi")
-        found = cut(rows.join(nodes.select("path", "m", F.col("pivot.k").alias("pivot"), F.col("pivot.label").alias("own")), "path").join(held, "k"))
-        small = found.where(F.col("m") <= SMALL).select("path", "k", "sketch")
-        small_links.append(cut(small.repartition("path").sortWithinPartitions("path").mapInArrow(small_node_links, "u long, v long")))
+        found = cut(rows.join(nodes.select("path", "m", F.col("pivot.k").alias("pivot"), F.col("pivot.label").alias("own")), "path").join(held.select("k", "sketch"), "k"))
+        few = found.where(F.col("m") <= SMALL).select("path", "k", "sketch")
+        small = few if small is None else small.unionByName(few)
         large = found.where(F.col("m") > SMALL)
         if large.isEmpty():
             break
@@ -192,16 +194,15 @@ def coarse_links(sets: DataFrame) -> DataFrame:
         judged = cut(large.where("k != pivot").join(pivots, "path").select("path", "k", "label", "pivot", "own", equal.alias("equal"), "sketch"))
         # documents that a path could not part at its end stay together: more to compare, nothing lost
         stars.append(judged.where(F.col("equal") >= (ALIKE if level < LEVELS else 0.0)).select(F.col("k").alias("u"), F.col("pivot").alias("v")).distinct())
-        deeper = []
-        for j in range(BRANCHES):
+
+        def branch(j: int) -> Column:
             at = F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
-            deeper.append(F.xxhash64("path", F.lit(j), at, F.get(F.col("sketch"), at)))
-        rest = judged.where(F.col("equal") < SAME)
-        rows = rest.select("k", F.when(F.col("equal") >= ALIKE, F.col("own")).otherwise(F.col("label")).alias("label"), F.explode(F.array(*deeper)).alias("path"))
-        held = rest.select("k", "sketch").dropDuplicates(["k"])
-    out = small_links[0]
-    for more in small_links[1:]:
-        out = out.unionByName(more)
+            return F.xxhash64("path", F.lit(j), at, F.get(F.col("sketch"), at))
+
+        deeper = F.when(F.pmod(F.xxhash64("path"), F.lit(SECOND)) == 0, F.array(branch(0), branch(1))).otherwise(F.array(branch(0)))
+        best = F.min(F.least("label", F.when(F.col("equal") >= ALIKE, F.col("own"))))
+        held = cut(judged.where(F.col("equal") < SAME).groupBy("k").agg(F.first("sketch").alias("sketch"), best.alias("label"), F.array_distinct(F.flatten(F.collect_set(deeper))).alias("paths")))
+    out = small.repartition("path").sortWithinPartitions("path").mapInArrow(small_node_links, "u long, v long")
     for more in stars[1:]:
         stars[0] = stars[0].unionByName(more)
     if stars:
