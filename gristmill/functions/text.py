@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def let(value: Column, body) -> Column:
@@ -57,25 +58,31 @@ _QUOTES = ("″”“′’‘", "\"\"\"'''")
 
 def plain_value(c: Column, apart: bool = False) -> Column:
     """A spec value with ASCII fractions, quotes, degrees and blanks; ``apart``: ``1½`` as ``1 1/2``, not ``11/2``."""
-    s = strip(F.coalesce(c, F.lit("")))
-    if apart:
-        s = F.regexp_replace(s, f"(\\d)([{''.join(FRACTIONS)}])", "$1 $2")
-    for sign, ascii_form in FRACTIONS.items():
-        s = F.replace(s, F.lit(sign), F.lit(ascii_form))
-    s = F.translate(s, _QUOTES[0] + "  ", _QUOTES[1] + "  ")
-    return F.replace(F.replace(s, F.lit("℉"), F.lit("°f")), F.lit("℃"), F.lit("°c"))
+
+    def signs(s: Column) -> Column:
+        if apart:
+            s = F.regexp_replace(s, f"(\\d)([{''.join(FRACTIONS)}])", "$1 $2")
+        for sign, ascii_form in FRACTIONS.items():
+            s = F.replace(s, F.lit(sign), F.lit(ascii_form))
+        s = F.translate(s, _QUOTES[0] + "\u00a0\u202f", _QUOTES[1] + "  ")
+        return F.replace(F.replace(s, F.lit("℉"), F.lit("°f")), F.lit("℃"), F.lit("°c"))
+
+    return let(strip(F.coalesce(c, F.lit(""))), lambda s: F.when(F.rlike(s, F.lit(r"[^\x00-\x7f]")), signs(s)).otherwise(s))
 
 
 def parse_number(c: Column) -> Column:
     """Double of ``7``, ``7.5``, ``1/2``, ``1 1/2`` or ``1-1/2``, signed, thousands commas dropped; else null."""
-    s = F.replace(strip(c), F.lit(","), F.lit(""))
     shape = r"^[+-]?(?:(\d+)\s*[ -]\s*)?(\d+)\s*/\s*(\d+)$"
-    part = lambda i: F.nullif(F.regexp_extract(s, shape, i), F.lit("")).try_cast("double")
-    sign = F.when(F.startswith(s, F.lit("-")), -1.0).otherwise(1.0)
-    return F.coalesce(sign * (F.coalesce(part(1), F.lit(0.0)) + F.try_divide(part(2), part(3))), F.when(F.rlike(s, F.lit(r"^[+-]?\d+(?:\.\d+)?$")), s.try_cast("double")))
+
+    def read(s: Column) -> Column:
+        part = lambda i: F.nullif(F.regexp_extract(s, shape, i), F.lit("")).try_cast("double")
+        sign = F.when(F.startswith(s, F.lit("-")), -1.0).otherwise(1.0)
+        return F.when(F.rlike(s, F.lit(r"^[+-]?\d+(?:\.\d+)?$")), s.try_cast("double")).when(F.contains(s, F.lit("/")), sign * (F.coalesce(part(1), F.lit(0.0)) + F.try_divide(part(2), part(3))))
+
+    return let(F.replace(strip(c), F.lit(","), F.lit("")), read)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, for which Spark has no function."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))

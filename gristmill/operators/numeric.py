@@ -44,9 +44,14 @@ def numeric_long(pairs: DataFrame, keys: DataFrame, schema: DataFrame, literal:
     their size allows.  The final aggregation combines per row before its shuffle.
     """
     cells = pairs.withColumn("norm", fold(F.col("key"))).join(keys, "norm").join(schema.select("field_id", "family"), "field_id")
-    c = cells.withColumn("c", classify(F.col("value"), literal)).where("c.kind = 'scalar'")
-    value = F.when((F.col("c.family") == F.col("family")) | F.col("family").isNull() | (F.col("c.unit") == ""), to_canonical(F.col("family"), F.col("c.value"), F.col("c.unit")))
-    good = c.select("row_id", "pos", "field_id", value.cast("float").alias("value")).where("value is not null")
+
+    def read(c):
+        fits = (c["kind"] == "scalar") & ((c["family"] == F.col("family")) | F.col("family").isNull() | (c["unit"] == ""))
+        return F.when(fits, to_canonical(F.col("family"), c["value"], c["unit"]).cast("float"))
+
+    # a generator: as a plain column and filter the classification would be run again below the joins
+    values = F.filter(F.transform(F.array(classify(F.col("value"), literal)), read), lambda v: v.isNotNull())
+    good = cells.select("row_id", "pos", "field_id", F.explode(values).alias("value"))
     return good.groupBy("row_id", "field_id").agg(F.max_by("value", "pos").alias("value"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import looks_like_sku, object_query, parse_number, sku_form, strip
 from ..functions.values import proximity, to_canonical, tolerance
@@ -40,7 +42,7 @@ def unit_vector(v: Column) -> Column:
     return F.transform(v.cast("array<double>"), lambda x: x / norm)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sku_ratio(query: pd.Series, text: pd.Series) -> pd.Series:
     """Matching-block ratio of the standard library, which is no edit distance; bounds are tried first."""
     out, match = [], difflib.SequenceMatcher()
@@ -91,10 +93,22 @@ def alias_hits(queries: DataFrame, aliases: DataFrame) -> DataFrame:
         return pd.Series([[{"st": m.start(), "en": m.end()} for m in pattern(x).finditer(t)] for t, x in zip(text, alias)])
 
     found = met.withColumn("o", F.explode(occurrences("text", "alias"))).groupBy("query_id", "text").agg(F.sort_array(F.collect_set(F.struct((F.col("o.st") - F.col("o.en")).alias("neg"), F.col("o.st").alias("st"), F.col("o.en").alias("en"), "field_id"))).alias("h"))
-    clash = lambda acc, h: F.exists(acc, lambda c: ~((h["en"] <= c["st"]) | (h["st"] >= c["en"])))
-    empty = F.filter("h", lambda _: F.lit(False))
-    chosen = F.aggregate("h", empty, lambda acc, h: F.when(clash(acc, h), acc).otherwise(F.concat(acc, F.array(h))))
-    return found.select("query_id", "text", F.explode(chosen).alias("c")).select("query_id", "text", "c.st", "c.en", "c.field_id")
+
+    @F.pandas_udf("array<struct<st:int,en:int,field_id:string>>")
+    def greedy(hits: pd.Series) -> pd.Series:
+        """Hits by falling length and start that overlap none chosen before."""
+        out = []
+        for row in hits:
+            starts, chosen = [], []
+            for h in row:
+                at = bisect(starts, h["st"])
+                if (at == 0 or chosen[at - 1]["en"] <= h["st"]) and (at == len(starts) or chosen[at]["st"] >= h["en"]):
+                    starts.insert(at, h["st"])
+                    chosen.insert(at, {"st": h["st"], "en": h["en"], "field_id": h["field_id"]})
+            out.append(chosen)
+        return pd.Series(out)
+
+    return found.select("query_id", "text", F.explode(greedy("h")).alias("c")).select("query_id", "text", "c.st", "c.en", "c.field_id")
 
 
 _N = r"(\d+\s*[- ]\s*\d+/\d+|\d+/\d+|\d+(?:\.\d+)?)"
@@ -132,7 +146,7 @@ def boosts(cons: DataFrame, numbers: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def rank_lists(queries: DataFrame, vectors: DataFrame, channels=("title", "desc", "specs"), block_rows: int = 4096) -> DataFrame:
-    """``(query_id, variant, channel, rank, row_id, sim)``: exact top ``pull`` by inner product of unit vectors.
+    """``(query_id, variant, channel, rank, row_id, sim)``: exact top ``pull`` by inner product of unit vectors, to 12 decimals; ties to smaller ids.
 
     ``queries (query_id, variant, vec, pull)``, ``vectors (row_id, channel, vec)``.  Queries are dealt to row groups of
     about ``block_rows`` and scored there; a list's winners per group are ranked again, so a shuffle
@@ -164,7 +178,7 @@ def rank_lists(queries: DataFrame, vectors: DataFrame, channels=("title", "desc"
                 elif ids:
                     if m is None:
                         m, x = np.stack(held), np.array(ids)
-                    sims = m @ vec
+                    sims = np.round(m @ vec, 12)  # equal vectors tie, wherever they lie in the block
                     best = np.lexsort((x, -sims))[:pull]
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(best), pa.int64()), pa.array([variant] * len(best)), pa.array([ch] * len(best)), pa.array([pull] * len(best), pa.int32()), pa.array(x[best], pa.int64()), pa.array(sims[best])], names)
 
@@ -212,7 +226,7 @@ def search(queries: DataFrame, query_vectors: DataFrame, meta: DataFrame, vector
     base = max(o.pull, 50 * o.k)
     sizes = short.groupBy("query_id").agg((3 * F.count("*")).alias("more"))
     pulls = query_vectors.join(sizes, "query_id", "left").select("query_id", "variant", "vec", F.greatest(F.lit(base), F.coalesce("more", F.lit(0))).cast("int").alias("pull"))
-    lists = rank_lists(pulls, vectors)
+    lists = rank_lists(pulls, vectors).persist()  # read by five branches below
     cand = candidates(lists, short, some_known, o)
     score = semantic_scores(cand, lists, o).join(boosts(cons, numbers, cand), ["query_id", "row_id"], "left").select("query_id", "row_id", (F.col("sem") + o.w_num * F.coalesce("boost", F.lit(0.0))).alias("score"))
     sku = sku_matches(queries, meta, 1, o.sku_cutoff).select("query_id", F.lit(0).alias("rank"), "row_id", F.col("ratio").alias("score"), F.lit("sku").alias("kind"), "norm")
