@@ -50,8 +50,8 @@ def numeric_long(pairs: DataFrame, keys: DataFrame, schema: DataFrame, literal:
         return F.when(fits, to_canonical(F.col("family"), c["value"], c["unit"]).cast("float"))
 
     # a generator: as a plain column and filter the classification would be run again below the joins
-    values = F.filter(F.transform(F.array(classify(F.col("value"), literal)), read), lambda v: v.isNotNull())
-    good = cells.select("row_id", "pos", "field_id", F.explode(values).alias("value"))
+    read_one = F.get(F.transform(F.array(classify(F.col("value"), literal)), read), F.lit(0))
+    good = cells.select("row_id", "pos", "field_id", F.explode_outer(F.array(read_one)).alias("value")).where("value is not null")
     return good.groupBy("row_id", "field_id").agg(F.max_by("value", "pos").alias("value"))
 
 

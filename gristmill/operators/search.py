@@ -126,8 +126,10 @@ def near_scalar(text: Column, st: Column, en: Column, window: int = 48) -> Colum
 
 def constraints(hits: DataFrame, schema: DataFrame, window: int = 48) -> DataFrame:
     """``(query_id, st, field_id, family, value, tau, tau_boost, known)`` of the hits that a number stands beside."""
-    near = hits.join(schema.select("field_id", "family", F.lit(True).alias("known")), "field_id", "left").withColumn("n", near_scalar(F.col("text"), F.col("st"), F.col("en"), window))
-    c = near.select("query_id", "st", "field_id", "family", F.coalesce("known", F.lit(False)).alias("known"), to_canonical(F.col("family"), F.col("n.value"), F.col("n.unit")).alias("value")).where("value is not null")
+    near = hits.join(schema.select("field_id", "family", F.lit(True).alias("known")), "field_id", "left")
+    # generators, as filters on plain columns would copy these expressions below the join
+    near = near.withColumn("n", F.explode_outer(F.array(near_scalar(F.col("text"), F.col("st"), F.col("en"), window)))).where("n is not null")
+    c = near.select("query_id", "st", "field_id", "family", F.coalesce("known", F.lit(False)).alias("known"), F.explode_outer(F.array(to_canonical(F.col("family"), F.col("n.value"), F.col("n.unit")))).alias("value")).where("value is not null")
     return c.select("*", tolerance(F.col("field_id"), F.col("family"), F.col("value")).alias("tau"), tolerance(F.col("field_id"), F.col("family"), F.col("value"), 0.0).alias("tau_boost"))
 
 
@@ -219,11 +221,12 @@ def search(queries: DataFrame, query_vectors: DataFrame, meta: DataFrame, vector
     ``object_query``.  Every stage is a join or a grouping over all queries at once.
     """
     o = options
-    cons = constraints(alias_hits(queries, aliases), schema, o.window)
-    short = shortlist(cons, numbers)
+    cons = constraints(alias_hits(queries, aliases), schema, o.window).persist()
+    short = shortlist(cons, numbers).persist()
     # with no constraint on a known field every row is on the shortlist
     some_known = cons.where("known").select("query_id").distinct()
     base = max(o.pull, 50 * o.k)
+    query_vectors = query_vectors.persist()
     sizes = short.groupBy("query_id").agg((3 * F.count("*")).alias("more"))
     pulls = query_vectors.join(sizes, "query_id", "left").select("query_id", "variant", "vec", F.greatest(F.lit(base), F.coalesce("more", F.lit(0))).cast("int").alias("pull"))
     lists = rank_lists(pulls, vectors).persist()  # read by five branches below

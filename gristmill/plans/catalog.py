@@ -21,6 +21,10 @@ class Mined:
     warnings: DataFrame
     enriched: dict[str, DataFrame]
 
+    def release(self) -> None:
+        for df in (self.raw_keys, self.fields, *self.enriched.values()):
+            df.unpersist()
+
 
 @dataclass
 class Index:
@@ -39,13 +43,18 @@ class Index:
 
 
 def mine(catalog: DataFrame, specs_col: str = "specs", order: str = "row_id", min_support: int = 3, thread_share: float = 1.0, drop_meta: bool = True, families=HARD_FAMILIES, max_aliases: int = 5, **alias_options) -> Mined:
-    """Keys, fields and aliases of a catalog."""
-    keys = harvest.harvest_keys(catalog, specs_col, order)
+    """Keys, fields and aliases of a catalog.
+
+    The tables here have a row for each distinct attribute name or alias.  They are held, as
+    later steps read them many times; ``release`` lets them go.
+    """
+    keys = harvest.harvest_keys(catalog, specs_col, order).persist()
     raw = keys.withColumn("ord", F.struct((-F.col("count")).alias("c"), "first_row", "first_pos"))
-    fields = categorize.build_fields(raw, min_support, thread_share, drop_meta)
+    fields = categorize.build_fields(raw, min_support, thread_share, drop_meta).persist()
     # a row for each distinct attribute name
     placed = fields.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("count"), "first", "signature")))
-    return Mined(keys, fields, categorize.report(fields), categorize.audit(fields), categorize.warnings(fields), al.enrich(placed, families, max_aliases=max_aliases, **alias_options))
+    enriched = al.enrich(placed.persist(), families, max_aliases=max_aliases, **alias_options)
+    return Mined(keys, fields, categorize.report(fields), categorize.audit(fields), categorize.warnings(fields), {k: v.persist() for k, v in enriched.items()})
 
 
 def build_index(catalog: DataFrame, mined: Mined, embedder=None, specs_col: str = "specs", order: str = "row_id", literal: bool = False) -> Index:
@@ -54,6 +63,6 @@ def build_index(catalog: DataFrame, mined: Mined, embedder=None, specs_col: str
     ch = channels.build_channels(catalog, order, specs_col)
     schema = numeric.numeric_schema(mined.enriched["fields"])
     owners = mined.enriched["aliases"].join(mined.enriched["fields"].select(F.col("id").alias("field_id"), "ord"), "field_id", "left")
-    keys = numeric.key_fields(owners, schema)
-    numbers = numeric.numeric_long(numeric.spec_pairs(catalog, order, specs_col), keys, schema, literal)
-    return Index(channels.meta_rows(ch), embed.channel_vectors(ch, embedder), schema, numbers, mined.enriched["aliases"], embedder)
+    keys = numeric.key_fields(owners, schema).persist()
+    numbers = numeric.numeric_long(numeric.spec_pairs(catalog, order, specs_col), keys, schema, literal).persist()
+    return Index(channels.meta_rows(ch), embed.channel_vectors(ch, embedder).persist(), schema, numbers, mined.enriched["aliases"], embedder)

@@ -442,12 +442,3 @@ def meta_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("name"), F.lit("").alias("description"), "text")
     m = channels.meta_rows(channels.build_channels(d.drop("text"))).select("row_id", "name", "raw_title")
     return m.join(d.select("row_id", (F.length("text") > 0).alias("has_text")), "row_id")
-
-
-@query(None)
-def catalog_search(spark, sf_dir):
-    """Mining, index and search of the part catalog end to end; queries are made of the parts whose id 100 divides."""
-    rows = part_catalog(spark, sf_dir)
-    asked = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("I need a "), "p_name", F.lit(" with overall length "), text("p_size"), F.lit(" in")).alias("text"))
-    out = plan.build_index(rows, plan.mine(rows)).search(asked)
-    return out.select("query_id", "rank", "row_id", F.round("score", 6).alias("score"), "kind", "name")

@@ -46,7 +46,7 @@ def test_text(spark):
     assert got[2][1] == "field" and got[3][1] == "field" and got[3][2] == "Field"
 
 
-@pytest.mark.parametrize("q, want", [("I need a ball bearing for a cart", "ball bearing"), ("looking for the stainless swivel plate caster", "stainless swivel plate"), ("for carts", "for carts"), ("  ", ""), ("wheel", "wheel")])
+@pytest.mark.parametrize("q, want", [("I need a ball bearing for a cart", "ball bearing"), ("need the stainless swivel plate caster", "stainless swivel plate"), ("for carts", "for carts"), ("  ", ""), ("wheel", "wheel")])
 def test_object_query(spark, q, want):
     assert spark.createDataFrame([(q,)], "q string").select(text.object_query(F.col("q"))).first()[0] == want
 
