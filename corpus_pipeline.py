@@ -23,8 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates."""
-    return minhash.one_of_each(docs, 0.85)
+    """The document of least id of each group of near-duplicates, linked at 0.8 or more."""
+    return minhash.one_of_each(docs, 0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

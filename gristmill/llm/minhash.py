@@ -31,13 +31,13 @@ COORDINATES = 64
 #: Trees and branches at each root: 12 tokens are tried.  A pair of similarity s meets under none with
 #: probability (1 - s) ** 12: 1.3e-10 at 0.85, 4e-9 at 0.8.
 TREES, ROOTS = 6, 2
-#: A node that isn't small branches once, and one in ``SECOND`` twice: as 1.2 * 0.85 is about 1, a pair at the threshold is expected
-#: in as many nodes of each level as under the roots, while unlike ones part.  A pair of 0.85 that is in such nodes only has left
-#: all of them by the last level with a chance of 2e-4; levels, and the size up to which a node is small and compared exhaustively.
-SECOND, LEVELS, SMALL = 5, 6, 200
-#: Share of equal sketch places from which two documents are compared in full, and from which one needs no further branching:
-#: whoever has a similarity of 0.85 to it differs from it in fewer than 0.33 of the places, but for a chance of 1e-4, and so is alike to the pivot.
-ALIKE, SAME = 0.55, 0.88
+#: Levels, and the size up to which a node is small and compared exhaustively.
+LEVELS, SMALL = 6, 200
+#: (least threshold, SECOND, ALIKE, SAME), for 0.85 and for 0.8.  A node that isn't small branches once, and one in SECOND twice: 1.2 * 0.85
+#: and 1.5 * 0.8 are above 1, so that a pair at the threshold is expected in as many nodes of each level as under the roots, while unlike ones part.
+#: ALIKE is the share of equal sketch places from which two documents are compared in full, SAME that from which one needs no further
+#: branching: whoever is near to it differs from it in fewer than SAME - ALIKE of the places (but for a chance of 1e-4), and so is alike to the pivot.
+TUNING = ((0.85, 5, 0.55, 0.88), (0.8, 2, 0.5, 0.92))
 #: Documents and shingles of a block that is compared in one task.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 1_500_000
 FACTORS = shingles.seeds(COORDINATES, 31) | np.uint64(1)
@@ -141,14 +141,14 @@ def sketches(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
 
 
-def small_node_links(batches):
-    """Rows ``(path, k, sketch)`` sorted by path, at most ``SMALL`` a path: links between alike documents."""
+def small_node_links(batches, least: float):
+    """Rows ``(path, k, sketch)`` sorted by path, at most ``SMALL`` a path: links between documents with ``least`` of the sketch places equal."""
     held, union = None, Union()
 
     def compare(path, k, sketch):
         offset, rows = 1, np.arange(len(path) - 1)
         while len(rows := rows[rows + offset < len(path)]) and len(rows := rows[path[rows] == path[rows + offset]]):
-            alike = rows[(sketch[rows] == sketch[rows + offset]).sum(1) >= ALIKE * COORDINATES]
+            alike = rows[(sketch[rows] == sketch[rows + offset]).sum(1) >= least * COORDINATES]
             for a, b in zip(k[alike].tolist(), k[alike + offset].tolist()):
                 union.join(a, b)
             offset += 1
@@ -171,12 +171,13 @@ def small_node_links(batches):
     yield union.batch()
 
 
-def coarse_links(sets: DataFrame) -> DataFrame:
+def coarse_links(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Links ``(u, v)`` between sets that may be near: the chosen-path trees over ``(k, roots, sketch)``.
 
     Every document has a label, one that it is already linked with (the least it met through
     pivots of earlier levels); a node under one label has nothing left to link and ends.
     """
+    second, alike, same = next((t[1:] for t in TUNING if threshold >= t[0]), TUNING[-1][1:])
     paths = F.array(*[F.xxhash64(F.lit(t), F.lit(TREES * r + t), F.col("roots")[TREES * r + t]) for t in range(TREES) for r in range(ROOTS)])
     held = sets.select("k", "sketch", F.col("k").alias("label"), paths.alias("paths"))
     small, stars = None, []
@@ -193,16 +194,16 @@ def coarse_links(sets: DataFrame) -> DataFrame:
         equal = F.size(F.filter(F.zip_with("sketch", "of_pivot", lambda a, b: a == b), lambda x: x)) / COORDINATES
         judged = cut(large.where("k != pivot").join(pivots, "path").select("path", "k", "label", "pivot", "own", equal.alias("equal"), "sketch"))
         # documents that a path could not part at its end stay together: more to compare, nothing lost
-        stars.append(judged.where(F.col("equal") >= (ALIKE if level < LEVELS else 0.0)).select(F.col("k").alias("u"), F.col("pivot").alias("v")).distinct())
+        stars.append(judged.where(F.col("equal") >= (alike if level < LEVELS else 0.0)).select(F.col("k").alias("u"), F.col("pivot").alias("v")).distinct())
 
         def branch(j: int) -> Column:
             at = F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
             return F.xxhash64("path", F.lit(j), at, F.get(F.col("sketch"), at))
 
-        deeper = F.when(F.pmod(F.xxhash64("path"), F.lit(SECOND)) == 0, F.array(branch(0), branch(1))).otherwise(F.array(branch(0)))
-        best = F.min(F.least("label", F.when(F.col("equal") >= ALIKE, F.col("own"))))
-        held = cut(judged.where(F.col("equal") < SAME).groupBy("k").agg(F.first("sketch").alias("sketch"), best.alias("label"), F.array_distinct(F.flatten(F.collect_set(deeper))).alias("paths")))
-    out = small.repartition("path").sortWithinPartitions("path").mapInArrow(small_node_links, "u long, v long")
+        deeper = F.when(F.pmod(F.xxhash64("path"), F.lit(second)) == 0, F.array(branch(0), branch(1))).otherwise(F.array(branch(0)))
+        best = F.min(F.least("label", F.when(F.col("equal") >= alike, F.col("own"))))
+        held = cut(judged.where(F.col("equal") < same).groupBy("k").agg(F.first("sketch").alias("sketch"), best.alias("label"), F.array_distinct(F.flatten(F.collect_set(deeper))).alias("paths")))
+    out = small.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: small_node_links(b, alike), "u long, v long")
     for more in stars[1:]:
         stars[0] = stars[0].unionByName(more)
     if stars:
@@ -327,7 +328,7 @@ def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id
     sig = cut(signatures(docs, width, id_col, text_col))
     sets = cut(sig.where("n > 0 and k is not null").groupBy("h1", "h2").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")))
     # an id that stands for several texts is one node with all their links
-    groups = connected_components(coarse_links(sets.select("k", "roots", "sketch")))
+    groups = connected_components(coarse_links(sets.select("k", "roots", "sketch"), threshold))
     member = sets.join(groups, sets["k"] == groups["node"]).select("k", "n", "h1", "h2", F.col("component").alias("cid"))
     member = cut(member)
     sizes = member.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
