@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words
@@ -14,6 +16,11 @@ from .common import cut, n_words
 RANKED = 10_000
 
 
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def numbered(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``place``, its rows' places from 0 in ``order``: sorted by range, with counts of the ranges added up."""
     held = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
@@ -87,7 +94,7 @@ def round_cells(key, cells: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, copies, text_hash)``, one row a document.
+    """``(doc_id, size, source_size, target, taken, copies, text_hash, source_key)``, one row a document.
 
     Words of a source's documents are counted by size, its rates solved in the dual, and
     rounded to copies size by size; which documents of one size get one more is told by a
@@ -97,7 +104,7 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int
     words in the longest text.  A size that many documents share is ranked in buckets.
     """
     sized = cut(docs.select(
-        docs[id_col].alias("k"), docs[source_col].alias("source"), F.coalesce(F.concat(F.lit("="), docs[source_col]), F.lit("")).alias("sk"), n_words(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("text_hash"),
+        docs[id_col].alias("k"), docs[source_col].alias("source"), source_key(docs[source_col]).alias("sk"), n_words(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("text_hash"),
     ))
     targets = cut(source_targets(sized, weights, share, cap))
     cells = cut(sized.where("size > 0").groupBy("sk", "size").agg(F.count("*").alias("n")))
@@ -119,14 +126,38 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int
     spread = placed.withColumn("bucket", F.when(F.col("n").isNull(), F.pmod(F.xxhash64("k", "text_hash"), F.lit(1 << 20)).cast("int")).otherwise(F.col("bucket")))
     ranked = spread.withColumn("copies", F.coalesce(F.floor(F.col("copies") / F.col("n")) + F.when(rank <= extra, 1).otherwise(0), F.lit(0)).cast("long"))
     out = ranked.join(targets.select("sk", "source_size", "target"), "sk")
-    return out.select(F.col("k").alias(id_col), "size", F.col("source_size").cast("long"), F.col("target").cast("double"), (F.col("size") * F.col("copies")).alias("taken"), "copies", "text_hash")
+    return out.select(F.col("k").alias(id_col), "size", F.col("source_size").cast("long"), F.col("target").cast("double"), (F.col("size") * F.col("copies")).alias("taken"), "copies", "text_hash", F.col("sk").alias("source_key"))
 
 
-def mixed_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, each row as many times as ``mix_sources`` gave it copies (equal rows with equal ids: the least of theirs)."""
-    per = mixed.groupBy(F.col(id_col).alias("k2"), F.col("text_hash").alias("t2")).agg(F.min("copies").alias("copies")).where("copies > 0")
+def mixed_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs``, each row as many times as ``mix_sources`` gave it copies.
+
+    Rows of one id, text and source have the sum of their copies among them, in turn from the
+    least hash of a row; which of several equal rows gives one more doesn't matter.
+    """
+    key = ["k", "t", "sk"]
+    per = mixed.groupBy(F.col(id_col).alias("k"), F.col("text_hash").alias("t"), F.col("source_key").alias("sk")).agg(F.sum("copies").alias("total"), F.count("*").alias("m"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.col("row")[id_col].alias("k"), F.xxhash64(F.col("row")[text_col]).alias("t"))
-    both = rows.join(per, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")))
-    out = both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = rows.select("row", F.col("row")[id_col].alias("k"), F.xxhash64(F.col("row")[text_col]).alias("t"), source_key(F.col("row")[source_col]).alias("sk"), F.xxhash64("row").alias("h"))
+
+    def same(a: DataFrame, b: DataFrame, names) -> DataFrame:
+        b = b.select(*[F.col(c).alias(f"{c}2") for c in names], *[c for c in b.columns if c not in names])
+        on = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in names]
+        return a.join(b, reduce(and_, on)).drop(*[f"{c}2" for c in names])
+
+    kinds = same(rows.groupBy(*key, "h").agg(F.count("*").alias("c")), per, key)
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.least(F.greatest(F.expr("total % m") - before, F.lit(0)), F.col("c"))
+    kinds = kinds.withColumn("more", more).select(*key, "h", (F.expr("total div m") + F.expr("more div c")).alias("each"), F.when(F.col("more") < F.col("c"), F.col("more")).otherwise(0).alias("some"))
+    kinds = cut(kinds.where("each > 0 or some > 0"))
+    out = same(rows, kinds.where("each > 0").drop("some"), [*key, "h"]).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("each").cast("long")))).select("row")
+    if not kinds.where("some > 0").isEmpty():
+        # some of several equal rows: counted in parts of at most RANKED rows
+        parts = rows.withColumn("part", F.floor(F.monotonically_increasing_id() / RANKED))
+        held = cut(same(parts, kinds.where("some > 0").drop("each"), [*key, "h"]))
+        own = held.groupBy(*key, "h", "part").agg(F.count("*").alias("own"))
+        start = F.coalesce(F.sum("own").over(Window.partitionBy(*key, "h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        own = own.select(*key, "h", "part", start.alias("start"))
+        place = F.row_number().over(Window.partitionBy(*key, "h", "part").orderBy("h"))
+        out = out.unionByName(same(held, own, [*key, "h", "part"]).withColumn("place", place).where("start + place <= some").select("row"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_hash", "source_key")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,28 @@
 """Cases in which an operator once did less than its whole job."""
 
+from collections import Counter
+
+from gristmill.llm import mixing
+
 from .test_ops import brute_components, near_texts
 
 
+def test_mixed_rows_hot_row_on_a_partial_cut(spark):
+    # one hot row and the others of its size share a cell, so the last extra copy falls among the equal rows
+    rows = [(7, "a b c d", "s", "en")] * 50 + [(7, "a b c d", "s", "de")] * 3 + [(7, "a b c d", "z", "en")] * 4 + [(i, f"w{i} b c d", "s", "en") for i in range(100, 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    mixed = mixing.mix_sources(df)
+    got = Counter(map(tuple, mixing.mixed_rows(df, mixed).collect()))
+    want = Counter()
+    for r in mixed.collect():
+        want[r.doc_id, r.source_key] += r.copies
+    have = Counter()
+    for (i, _, s, _), n in got.items():
+        have[i, "=" + s] += n
+    assert len({r.copies for r in mixed.where("doc_id = 7 and source_key = '=s'").collect()}) == 2
+    assert have == +want
+
+
 def test_stage_links_at_80_percent(spark):
     import corpus_pipeline
 
