@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import cut
 from .graph import connected_components
+from .mixing import numbered
 
 COORDINATES = 64
 #: Trees and branches at each root: 12 tokens are tried.  A pair of similarity s meets under none with
@@ -397,9 +398,22 @@ def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the documents that ``near_components`` does not keep; equal rows of one id stay once."""
-    found = near_components(docs, threshold, width, id_col, text_col)
-    gone = found.where("not kept").select(F.col(id_col).alias("k")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = rows.join(gone, rows["row"][id_col] == gone["k"], "left_anti")
+    """``docs``, all columns, with one row of each group of near-duplicates: that of least id.
+
+    Rows of one id and text stay once; texts that share an id are judged each for itself, and of
+    several in one group that of least digest stays.  Rows without an id stay.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("k", F.col("row")[id_col].cast("long"))
+    twice = docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].cast("long")).count().where("count > 1")
+    if twice.isEmpty():
+        found = near_components(docs, threshold, width, id_col, text_col)
+        kept = rows.join(found.where("not kept").select(F.col(id_col).alias("k")), "k", "left_anti")
+    else:
+        # a node for each id and text, numbered in the order of ids
+        named = rows.where("k is not null").withColumn("digest", F.coalesce(F.md5(F.col("row")[text_col]), F.lit("")))
+        places = numbered(named.select("k", "digest").distinct(), "k", "digest")
+        single = named.groupBy("k", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        nodes = cut(single.join(places, ["k", "digest"]).select("place", "row"))
+        found = near_components(nodes.select("place", F.col("row")[text_col].alias("text")), threshold, width, "place", "text")
+        kept = nodes.join(found.where("not kept").select("place"), "place", "left_anti").select("row").unionByName(rows.where("k is null").select("row"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from gristmill.llm import mixing
+from pyspark.sql import functions as F
+
+from gristmill.llm import minhash, mixing
 
 from .test_ops import brute_components, near_texts
 
@@ -23,6 +25,15 @@ def test_mixed_rows_hot_row_on_a_partial_cut(spark):
     assert have == +want
 
 
+def test_one_of_each_repeated_rows_and_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, a), (2, a + " end"), (2, b), (3, "x y z"), (3, "x y z"), (3, b + " end"), (None, a), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("clash"))
+    got = minhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (2, b), (3, "x y z"), (None, a), (4, None)], key=repr)
+
+
 def test_stage_links_at_80_percent(spark):
     import corpus_pipeline
 
