@@ -1,7 +1,8 @@
-"""License scans: lines and whole texts against templates, by Dice's coefficient over word bigrams."""
+"""License scans: lines, whole texts and word windows against templates, by Dice's coefficient over word bigrams."""
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +29,53 @@ def bigrams(text: Column) -> Column:
     return F.get(F.transform(F.array(words), pairs), F.lit(0))
 
 
+def word_lines(text: Column, of_lines: Column) -> Column:
+    """``(line, hit)`` of each word of a text: its line, and whether that has a hit."""
+    count = lambda x: F.regexp_count(x, F.lit("[A-Za-z0-9]+"))
+    per = F.transform(F.split(text, "\n", -1), lambda x, i: F.array_repeat(F.struct(i.alias("line"), F.get(of_lines, i)["dice"].isNotNull().alias("hit")), count(x)))
+    return F.flatten(per)
+
+
+def ordered_pairs(text: Column) -> Column:
+    """Hashed pairs of neighbouring words, as in ``bigrams``, at their places."""
+    words = F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit("[a-z0-9]+"), F.lit(0))
+    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), x))
+    return F.get(F.transform(F.array(words), pairs), F.lit(0))
+
+
+def window_hits(pairs: Column, found: Column, table, threshold: float) -> Column:
+    """``array<struct<dice, ord, first, last>>``: the best window from each place, for each template.
+
+    ``found`` holds ``(p, h)`` of the pairs of any template.  A window starts and ends with pairs of its
+    template (others at its ends only lower the coefficient), holds n * t / (2 - t) of them at least, and
+    is n * (2 - t) / t pairs long at most.
+    """
+
+    def of(i: int, n: int, s: list[int]) -> Column:
+        least, most = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+
+        def from_places(m: Column) -> Column:
+            def best(x: Column, at: Column) -> Column:
+                def score(y: Column, d: Column) -> Column:
+                    both = F.size(F.array_distinct(F.transform(F.slice(m, at + 1, d + least), lambda z: z["h"])))
+                    a = F.size(F.array_distinct(F.slice(pairs, x["p"] + 1, y["p"] - x["p"] + 1)))
+                    return F.when(y["p"] - x["p"] < most, F.struct((F.lit(2.0) * both / (a + n)).alias("dice"), F.lit(-i).alias("ord"), x["p"].alias("first"), (y["p"] + 1).alias("last")))
+
+                return F.when(F.get(m, at + (least - 1))["p"] - x["p"] < most, F.array_max(F.transform(F.slice(m, at + least, most - least + 1), score)))
+
+            return F.filter(F.transform(m, best), lambda w: w["dice"] >= threshold)
+
+        return F.get(F.transform(F.array(F.filter(found, lambda x: x["h"].isin(s))), from_places), F.lit(0))
+
+    return F.concat(*[of(*row) for row in table])
+
+
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, license, template, dice, line, n_hits)``: each document's best hit.
 
-    Units are each line (from 0) and the whole text (-1, if it has more lines than one).  A
+    Units are each line (from 0), the whole text (-1, if it has more lines than one), and word
+    windows anywhere in the text that meet no line with a hit; a window's line is that of its
+    first word, and windows that overlap count once.  For lines and the whole text, a
     template whose number of bigrams b cannot reach the threshold against a unit's a, that is
     unless a * t / (2 - t) <= b <= a * (2 - t) / t, is not compared.  Best: highest Dice
     coefficient, then first template, then first line; ``n_hits`` counts units with a hit.
@@ -59,8 +103,25 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES,
 
         return F.get(F.transform(F.array(bigrams(unit["x"])), against), F.lit(0))
 
-    hits = src.select("k", F.filter(F.transform(F.concat(lines, whole), best), lambda s: s.isNotNull()).alias("hits"))
-    out = hits.select("k", F.array_max("hits").alias("m"), F.greatest(F.size("hits"), F.lit(0)).alias("n_hits"))
+    table = [x for x in table if x[1]]
+    any_pair = sorted({h for x in table for h in x[2]})
+    window = "array<struct<dice:double,ord:int,first:int,last:int>>"
+    held = src.select("k", "t", F.transform(lines, best).alias("of_lines"), F.filter(F.transform(whole, best), lambda s: s.isNotNull()).alias("of_whole"), ordered_pairs(F.col("t")).alias("pairs"))
+    found = F.filter(F.transform("pairs", lambda h, p: F.struct(p.alias("p"), h.alias("h"))), lambda x: x["h"].isin(any_pair))
+    held = held.withColumn("found", found if table else F.lit(None))
+    held = held.withColumn("windows", window_hits(F.col("pairs"), F.col("found"), table, threshold) if table else F.lit(None).cast(window))
+
+    held = held.withColumn("at", F.when(F.size("windows") > 0, word_lines(F.col("t"), F.col("of_lines"))))
+    met = lambda w: F.size(F.filter(F.slice("at", w["first"] + 1, w["last"] - w["first"] + 1), lambda x: x["hit"]))
+    placed = F.transform("windows", lambda w: F.struct(w["dice"].alias("dice"), w["ord"].alias("ord"), (-F.get("at", w["first"])["line"]).alias("line"), w["first"].alias("first"), w["last"].alias("last"), met(w).alias("met")))
+    held = held.withColumn("windows", placed)
+    clear = F.filter("windows", lambda w: w["met"] == 0)
+    held = held.select("k", F.filter("of_lines", lambda s: s.isNotNull()).alias("of_lines"), "of_whole", clear.alias("windows"))
+    spans = F.array_sort(F.transform("windows", lambda w: F.struct(w["first"], w["last"])))
+    runs = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), lambda got, w: F.struct((got["n"] + F.when(w["first"] > got["end"], 1).otherwise(0)).alias("n"), F.greatest(got["end"], w["last"]).alias("end")), lambda got: got["n"])
+    plain = F.coalesce(F.transform("windows", lambda w: F.struct(w["dice"], w["ord"], w["line"])), F.array().cast("array<struct<dice:double,ord:int,line:int>>"))
+    n_hits = F.greatest(F.size("of_lines"), F.lit(0)) + F.greatest(F.size("of_whole"), F.lit(0)) + F.coalesce(runs, F.lit(0))
+    out = held.select("k", F.array_max(F.concat("of_lines", "of_whole", plain)).alias("m"), n_hits.alias("n_hits"))
     names = lambda f: F.get(F.array(*[F.lit(f(i)) for i in range(len(templates))]), -F.col("m.ord")) if templates else F.lit(None).cast("string")
     return out.select(
         F.col("k").alias(id_col), names(lambda i: templates[i][0]).alias("license"), names(lambda i: i).cast("int").alias("template"),

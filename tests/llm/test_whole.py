@@ -4,9 +4,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from gristmill.llm import minhash, mixing
+from gristmill.llm import license_scan, minhash, mixing
 
-from .test_ops import brute_components, near_texts
+from .test_ops import ODD, brute_components, near_texts
 
 
 def test_mixed_rows_hot_row_on_a_partial_cut(spark):
@@ -43,3 +43,20 @@ def test_stage_links_at_80_percent(spark):
     assert not near[1][3] and brute_components(texts, 85)[1][3]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {i for i, _, _, k in near if k}
+
+
+def test_license_notices_inside_texts(spark):
+    mit, gpl, bsd = (license_scan.TEMPLATES[i][1] for i in (3, 5, 8))
+    around = "\n".join(f"some other line number {i} of a longer document" for i in range(40))
+
+    def wrapped(notice, width=9):
+        w = notice.split()
+        return "\n".join([around, *(" ".join(w[i : i + width]) for i in range(0, len(w), width)), around])
+
+    inline = "Our handbook: Released under the MIT License. See the file for details."
+    texts = [wrapped(mit), wrapped(gpl), wrapped(bsd), inline, wrapped(mit) + "\n" + wrapped(gpl), around, *ODD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in license_scan.scan_licenses(df).collect()}
+    assert got[0] == ("MIT", 3, 1.0, 40, 1) and got[1] == ("GPL-3.0", 5, 1.0, 40, 1) and got[2] == ("BSD", 8, 1.0, 40, 1)
+    assert got[3] == ("MIT", 2, 1.0, 0, 1) and got[4] == ("MIT", 3, 1.0, 40, 2)
+    assert all(got[i] == (None, None, 0.0, None, 0) for i in range(5, len(texts)))
