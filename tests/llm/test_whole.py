@@ -4,8 +4,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from gristmill.llm import license_scan, minhash, mixing
+from gristmill.llm import license_scan, minhash, mixing, queries
 
+from ..oracle import SF
 from .test_ops import ODD, brute_components, near_texts
 
 
@@ -60,3 +61,12 @@ def test_license_notices_inside_texts(spark):
     assert got[0] == ("MIT", 3, 1.0, 40, 1) and got[1] == ("GPL-3.0", 5, 1.0, 40, 1) and got[2] == ("BSD", 8, 1.0, 40, 1)
     assert got[3] == ("MIT", 2, 1.0, 0, 1) and got[4] == ("MIT", 3, 1.0, 40, 2)
     assert all(got[i] == (None, None, 0.0, None, 0) for i in range(5, len(texts)))
+
+
+def test_license_texts_and_proprietary_notices(spark):
+    named = [x for x in license_scan.MORE if x[0] in ("MIT", "BSD-3-Clause", "Proprietary")]
+    texts = [f"Title of it\n{t}\nmore words follow here" for _, t in named] + ["(c) Someone. All rights reserved. Else nothing."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [got[i].license for i in range(len(named))] == [n for n, _ in named] and got[len(named)].license == "Proprietary"
+    assert queries.op10_license_scan_all(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
