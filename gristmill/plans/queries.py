@@ -305,25 +305,25 @@ lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, var
 SEMANTIC = """sem AS (SELECT query_id, row_id, sum(sim * CASE variant WHEN 'full' THEN 0.95::DOUBLE ELSE 0.05::DOUBLE END * CASE channel WHEN 'title' THEN 0.35::DOUBLE WHEN 'desc' THEN 0.5::DOUBLE ELSE 0.15::DOUBLE END) AS sem FROM lists GROUP BY query_id, row_id)"""
 
 
-def vector_lists(spark, sf_dir) -> DataFrame:
+def vector_lists(spark, sf_dir, pull: int = PULL) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     vectors = e.select(F.col("vec_id").alias("row_id"), F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.expr(x).alias("vec")) for c, x in CHANNELS.items()])))
     more = F.transform("embedding", lambda x: x + F.lit(0.125).cast("float"))
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit(PULL).alias("pull"), F.inline(F.array(F.struct(F.lit("full").alias("variant"), F.col("embedding").alias("vec")), F.struct(F.lit("obj").alias("variant"), more.alias("vec")))))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit(pull).alias("pull"), F.inline(F.array(F.struct(F.lit("full").alias("variant"), F.col("embedding").alias("vec")), F.struct(F.lit("obj").alias("variant"), more.alias("vec")))))
     return search.rank_lists(queries, vectors).persist()
 
 
 @query(f"WITH {LISTS} SELECT query_id, variant, channel, rank, row_id, round(sim, 6) AS sim FROM lists")
-def cosine_topk(spark, sf_dir):
-    return vector_lists(spark, sf_dir).withColumn("sim", F.round("sim", 6))
+def cosine_topk(spark, sf_dir, pull=PULL):
+    return vector_lists(spark, sf_dir, pull).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""
 WITH {LISTS}, {SEMANTIC}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sem, 9) DESC, row_id)::INTEGER AS rank FROM sem)
 SELECT query_id, rank, row_id, round(sem, 6) AS sem FROM r WHERE rank <= 5
 """)
-def dual_query_blend(spark, sf_dir):
-    lists = vector_lists(spark, sf_dir)
+def dual_query_blend(spark, sf_dir, pull=PULL):
+    lists = vector_lists(spark, sf_dir, pull)
     sem = search.semantic_scores(lists.select("query_id", "row_id").distinct(), lists, search.SearchOptions())
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("sem", 9).desc(), "row_id"))
     return sem.withColumn("rank", rank).where("rank <= 5").select("query_id", "rank", "row_id", F.round("sem", 6).alias("sem"))
@@ -335,11 +335,11 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 hit AS (SELECT DISTINCT query_id, row_id FROM lists SEMI JOIN short USING (query_id, row_id))
 SELECT query_id, row_id FROM c UNION ALL SELECT query_id, row_id FROM hit UNION ALL SELECT query_id, row_id FROM short WHERE query_id NOT IN (SELECT query_id FROM hit)
 """)
-def candidate_union(spark, sf_dir):
-    lists, numbers = vector_lists(spark, sf_dir), part_numbers(spark, sf_dir)
+def candidate_union(spark, sf_dir, pull=PULL, pool=30):
+    lists, numbers = vector_lists(spark, sf_dir, pull), part_numbers(spark, sf_dir)
     want = lists.where("query_id % 200 = 0").select("query_id").distinct()
     short = want.join(numbers.where("field_id = 'overall_length'"), F.col("value") == F.expr("query_id div 100 % 50 + 1")).select("query_id", "row_id")
-    return search.candidates(lists, short, short.select("query_id").distinct(), search.SearchOptions(semantic_pool=30))
+    return search.candidates(lists, short, short.select("query_id").distinct(), search.SearchOptions(semantic_pool=pool))
 
 
 @query(f"""
@@ -349,9 +349,9 @@ s AS (SELECT query_id, row_id, sem + 0.25 * coalesce(boost, 0) AS score FROM sem
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, row_id, round(score, 6) AS score FROM r WHERE rank <= 5
 """)
-def hybrid_search(spark, sf_dir):
+def hybrid_search(spark, sf_dir, pull=PULL):
     o = search.SearchOptions()
-    lists, numbers = vector_lists(spark, sf_dir), part_numbers(spark, sf_dir)
+    lists, numbers = vector_lists(spark, sf_dir, pull), part_numbers(spark, sf_dir)
     cand = lists.select("query_id", "row_id").distinct()
     cons = cand.select("query_id").distinct().select("query_id", F.lit("overall_length").alias("field_id"), F.expr("CAST(query_id div 100 % 50 + 1 AS DOUBLE)").alias("value"), F.lit(0.0625).alias("tau_boost"), F.lit(True).alias("known"))
     scored = search.semantic_scores(cand, lists, o).join(search.boosts(cons, numbers, cand), ["query_id", "row_id"], "left").select("query_id", "row_id", (F.col("sem") + o.w_num * F.coalesce("boost", F.lit(0.0))).alias("score"))
@@ -359,6 +359,30 @@ def hybrid_search(spark, sf_dir):
     return scored.withColumn("rank", rank).where(F.col("rank") <= o.k).select("query_id", "rank", "row_id", F.round("score", 6).alias("score"))
 
 
+#: The depth of the end-to-end search; the SQL above pulls ``PULL``.
+DEPTH = max(search.SearchOptions().pull, 50 * search.SearchOptions().k)
+
+
+@query(None)
+def cosine_topk_deep(spark, sf_dir):
+    return cosine_topk(spark, sf_dir, DEPTH)
+
+
+@query(None)
+def dual_query_blend_deep(spark, sf_dir):
+    return dual_query_blend(spark, sf_dir, DEPTH)
+
+
+@query(None)
+def candidate_union_deep(spark, sf_dir):
+    return candidate_union(spark, sf_dir, DEPTH, search.SearchOptions().semantic_pool)
+
+
+@query(None)
+def hybrid_search_deep(spark, sf_dir):
+    return hybrid_search(spark, sf_dir, DEPTH)
+
+
 # --- texts ---
 
 
