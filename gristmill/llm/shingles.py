@@ -6,10 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 2 << 20
-#: Odd base of the rolling hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+CHUNK = 1 << 20
+STEP = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,31 +21,15 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
 
 
-BYTE_VALUES = seeds(256, 11)
-BYTE_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z are a-z
-CASED_VALUES = seeds(256, 11)
+#: A-Z as a-z, and every byte as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 PLACES = seeds(5, 23) | U(1)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: dict[int, tuple] = {}
-
-
-def tables(n: int) -> tuple:
-    size = 1 << max(21, n.bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = powers(BASE, size + 1), powers(INVERSE, size + 1)
-    return _POWERS[size]
-
-
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)`` of a string array; a null has no bytes."""
     if texts.null_count:
@@ -58,10 +40,35 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def _hash_words(data: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, their first bytes and lengths, of ``data``; a word also begins at each of ``starts``."""
+def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
+    """Slices of a batch with about ``most`` bytes of text."""
+    import pyarrow.compute  # noqa: F401
+
+    start, size = 0, 0
+    lengths = pa.compute.binary_length(batch.column(column)).to_pylist() if batch.num_rows else []
+    for i, n in enumerate(lengths):
+        size += n or 0
+        if size >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def lists(table: np.ndarray) -> pa.ListArray:
+    """A list a row."""
+    rows, width = table.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(table.ravel()))
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and their first bytes, of ``data``; a word also begins at each of ``starts``.
+
+    A word is read in blocks of eight bytes, each scrambled with its place; so words of up to
+    eight bytes have different hashes if they differ, and no sum over single bytes can cancel.
+    """
     if not len(data):
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64)
     word = ~BLANK[data]
     edge = np.empty(len(data), bool)
     edge[0] = True
@@ -69,19 +76,24 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tup
     edge[starts[starts < len(data)]] = True
     first = np.flatnonzero(word & edge)
     if not len(first):
-        return np.zeros(0, U), first, first
+        return np.zeros(0, U), first
     stop = np.empty(len(data), bool)
     stop[-1] = True
     stop[:-1] = edge[1:] | ~word[1:]
-    end = np.flatnonzero(word & stop) + 1
-    up, down = tables(len(data))
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(U)), first, end - first
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
+    size = np.flatnonzero(word & stop) + 1 - first
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = fold[data]
+    eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    blocks = (size + 7) >> 3
+    begin = np.cumsum(blocks) - blocks
+    j = np.arange(int(blocks.sum())) - np.repeat(begin, blocks)
+    held = np.minimum(np.repeat(size, blocks) - 8 * j, 8)
+    value = eight[np.repeat(first, blocks) + 8 * j] & (U(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * held).astype(U))
+    sums = np.add.reduceat(mix(mix(value) + (j + 1).astype(U) * STEP), begin)
+    return mix(sums + size.astype(U)), first
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, counts)``: a 64-bit hash of each word in order, and the words of each text.
 
     Texts are hashed in runs of about ``CHUNK`` bytes, a longer text in pieces that end at
@@ -93,7 +105,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTE
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
         lo, hi = int(offsets[i]), int(offsets[j])
         if hi - lo <= CHUNK:
-            h, first, _ = _hash_words(data[lo:hi], offsets[i:j] - lo, values)
+            h, first = _hash_words(data[lo:hi], offsets[i:j] - lo, fold)
             hashes.append(h)
             counts.append(np.diff(np.searchsorted(first, offsets[i : j + 1] - lo)))
         else:
@@ -103,7 +115,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTE
                 while stop < hi and not BLANK[data[stop]]:
                     gap = np.flatnonzero(BLANK[data[stop : min(hi, stop + CHUNK)]])
                     stop = stop + int(gap[0]) if len(gap) else min(hi, stop + CHUNK)
-                h, _, _ = _hash_words(data[lo:stop], np.zeros(1, np.int64), values)
+                h, _ = _hash_words(data[lo:stop], np.zeros(1, np.int64), fold)
                 hashes.append(h)
                 total += len(h)
                 lo = stop
@@ -123,9 +135,9 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = 5) -> tupl
         for k in range(size):
             runs += words[k : len(words) - size + 1 + k] * PLACES[k]
         long = np.flatnonzero(counts >= size)
-        place = np.repeat((ends - counts)[long] - begin[long], n[long]) + np.concatenate([np.arange(b, b + m) for b, m in zip(begin[long], n[long])]) if len(long) else np.zeros(0, np.int64)
-        target = place - np.repeat((ends - counts)[long] - begin[long], n[long]) if len(long) else place
-        out[target] = runs[place]
+        m = n[long]
+        within = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        out[np.repeat(begin[long], m) + within] = runs[np.repeat((ends - counts)[long], m) + within]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
         w = words[ends[i] - counts[i] : ends[i]]
         out[begin[i]] = (w * PLACES[: len(w)]).sum(dtype=U) + U(len(w))
