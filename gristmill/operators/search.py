@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from bisect import bisect
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.text import looks_like_sku, object_query, parse_number, sku_form, strip
 from ..functions.values import proximity, to_canonical, tolerance
+from ..sources.held import hold
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,7 @@ def unit_vector(v: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sku_ratio(query: pd.Series, text: pd.Series) -> pd.Series:
-    """Matching-block ratio of the standard library, which is no edit distance; bounds are tried first."""
+    """Matching-block ratio of the standard library, which is no edit distance."""
     out, match = [], difflib.SequenceMatcher()
     for q, t in zip(query, text):
         match.set_seq2(q)
@@ -53,62 +55,103 @@ def sku_ratio(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def char_tokens(text: Column) -> Column:
+    """Each character with its number of occurrences so far, high numbers first: tokens that two texts share count what they share as multisets."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    nth = lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))
+    return F.array_sort(F.transform(chars, lambda c, i: F.concat(F.lpad((F.lit(100) - nth(c, i)).cast("string"), 3, "0"), c)))
+
+
 def sku_matches(queries: DataFrame, meta: DataFrame, n: int = 1, cutoff: float = 0.70, decompose: bool = True) -> DataFrame:
     """``(query_id, rank, row_id, norm, ratio)``: up to ``n`` rows by SKU likeness for queries that look like one.
 
-    Of rows with one normal form the first counts.  Pairs whose lengths alone keep the ratio below
-    the cutoff are never scored: an equi-join on length meets only lengths within the bound.
+    Of rows with one normal form the first counts.  A ratio of ``cutoff`` needs that many characters in
+    common, as multisets; so a pair must share one of the first tokens of either text in one order, as many
+    as it may lack and one more, which is what is joined on.  The count in common is then tested, and only what is left is scored.
     """
-    skus = meta.select("row_id", sku_form(F.col("sku"), decompose).alias("norm")).where("norm != ''").groupBy("norm").agg(F.min("row_id").alias("row_id")).withColumn("len", F.length("norm"))
-    asked = queries.where(looks_like_sku(F.col("text"), decompose)).select("query_id", sku_form(F.col("text"), decompose).alias("q"))
-    low, high = F.ceil(F.length("q") * F.lit(cutoff / (2 - cutoff))), F.floor(F.length("q") * F.lit((2 - cutoff) / cutoff))
-    pairs = asked.withColumn("len", F.explode(F.sequence(low.cast("int"), high.cast("int")))).join(skus, "len")
-    near = pairs.withColumn("ratio", sku_ratio("q", "norm")).where(F.col("ratio") >= cutoff)
+    longest = int(24 * (2 - cutoff) / cutoff + 1e-9)  # queries have 24 characters at most
+    forms = meta.select("row_id", sku_form(F.col("sku"), decompose).alias("norm")).where(F.length("norm").between(1, longest)).groupBy("norm").agg(F.min("row_id").alias("row_id")).withColumn("tokens", char_tokens(F.col("norm")))
+    asked = queries.where(looks_like_sku(F.col("text"), decompose)).select("query_id", sku_form(F.col("text"), decompose).alias("q")).withColumn("q_tokens", char_tokens(F.col("q")))
+
+    def first_tokens(df: DataFrame, tokens: str) -> DataFrame:
+        size = F.size(tokens)
+        need = F.ceil((size + F.ceil(size * F.lit(cutoff / (2 - cutoff)) - 1e-9)) * F.lit(cutoff / 2) - 1e-9)
+        return df.withColumn("t", F.explode(F.slice(tokens, 1, F.greatest(size - need + 1, F.lit(1)).cast("int"))))
+
+    low, high = F.size("q_tokens") * F.lit(cutoff / (2 - cutoff)) - 1e-9, F.size("q_tokens") * F.lit((2 - cutoff) / cutoff) + 1e-9
+    met = first_tokens(asked, "q_tokens").join(first_tokens(forms, "tokens"), "t").where(F.size("tokens").between(low, high)).drop("t")
+    common = F.size(F.array_intersect("q_tokens", "tokens"))
+    likely = met.where(2 * common >= cutoff * (F.size("tokens") + F.size("q_tokens")) - 1e-9).select("query_id", "q", "row_id", "norm").distinct()
+    near = likely.withColumn("ratio", sku_ratio("q", "norm")).where(F.col("ratio") >= cutoff)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ratio"), F.desc("norm")))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "row_id", "norm", "ratio")
 
 
-def alias_hits(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+#: Aliases of which every executor may hold a table.
+MOST_ALIASES = 100_000
+_WORDS = r"[\p{L}\p{N}]+"
+
+
+def alias_pattern(alias: str) -> re.Pattern:
+    """An alias without case, any white space between its words, and not inside a word."""
+    body = r"\s+".join(map(re.escape, alias.split()))
+    return re.compile((r"\b" if re.match(r"\w", alias) else r"(?<!\w)") + body + (r"\b" if re.search(r"\w$", alias) else r"(?!\w)"), re.I)
+
+
+def chosen_hits(text: str, aliases: Iterable[tuple[str, str]], patterns: dict[str, re.Pattern]) -> list[dict]:
+    """Occurrences of ``(alias, field_id)`` by falling length, start and field, without those that overlap one chosen before."""
+    found = set()
+    for alias, field in aliases:
+        if alias not in patterns:
+            patterns[alias] = alias_pattern(alias)
+        found.update((m.start() - m.end(), m.start(), m.end(), field) for m in patterns[alias].finditer(text))
+    starts, chosen = [], []
+    for _, st, en, field in sorted(found):
+        at = bisect(starts, st)
+        if (at == 0 or chosen[at - 1]["en"] <= st) and (at == len(starts) or chosen[at]["st"] >= en):
+            starts.insert(at, st)
+            chosen.insert(at, {"st": st, "en": en, "field_id": field})
+    return chosen
+
+
+_HITS = "array<struct<st:int,en:int,field_id:string>>"
+
+
+def alias_hits(queries: DataFrame, aliases: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
     """``(query_id, text, st, en, field_id)``: longest non-overlapping alias occurrences, greedy, then earliest.
 
-    Aliases match without case, any white space between their words, and not inside a word.
-    Candidates meet a query through its words, not through every alias: an alias is joined on its first
-    word's letters and digits, so work follows what queries say.
+    A text is held only against aliases whose first word it has.  Up to ``most`` aliases are sent to
+    every executor by first word, and texts aren't shuffled at all; beyond that the words of texts
+    are joined with the aliases', and the texts join what they met.  ``query_id`` tells texts apart.
     """
-    a = aliases.select(F.lower(strip(F.col("text"))).alias("alias"), "field_id").where("alias != ''")
-    first_word = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}]+", 0)
-    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array(F.lit(""))))
-    met = queries.select("query_id", "text", F.explode(words).alias("w")).join(a.withColumn("w", first_word(F.col("alias"))), "w").select("query_id", "text", "alias", "field_id")
-
-    @F.pandas_udf("array<struct<st:int,en:int>>")
-    def occurrences(text: pd.Series, alias: pd.Series) -> pd.Series:
-        held: dict[str, re.Pattern] = {}
-
-        def pattern(x: str) -> re.Pattern:
-            if x not in held:
-                body = r"\s+".join(map(re.escape, x.split()))
-                held[x] = re.compile((r"\b" if re.match(r"\w", x) else "(?<!\\w)") + body + (r"\b" if re.search(r"\w$", x) else "(?!\\w)"), re.I)
-            return held[x]
-
-        return pd.Series([[{"st": m.start(), "en": m.end()} for m in pattern(x).finditer(t)] for t, x in zip(text, alias)])
-
-    found = met.withColumn("o", F.explode(occurrences("text", "alias"))).groupBy("query_id", "text").agg(F.sort_array(F.collect_set(F.struct((F.col("o.st") - F.col("o.en")).alias("neg"), F.col("o.st").alias("st"), F.col("o.en").alias("en"), "field_id"))).alias("h"))
-
-    @F.pandas_udf("array<struct<st:int,en:int,field_id:string>>")
-    def greedy(hits: pd.Series) -> pd.Series:
-        """Hits by falling length and start that overlap none chosen before."""
-        out = []
-        for row in hits:
-            starts, chosen = [], []
-            for h in row:
-                at = bisect(starts, h["st"])
-                if (at == 0 or chosen[at - 1]["en"] <= h["st"]) and (at == len(starts) or chosen[at]["st"] >= h["en"]):
-                    starts.insert(at, h["st"])
-                    chosen.insert(at, {"st": h["st"], "en": h["en"], "field_id": h["field_id"]})
-            out.append(chosen)
-        return pd.Series(out)
-
-    return found.select("query_id", "text", F.explode(greedy("h")).alias("c")).select("query_id", "text", "c.st", "c.en", "c.field_id")
+    spark = queries.sparkSession
+    a = aliases.select(F.lower(strip(F.col("text"))).alias("alias"), "field_id").where("alias != ''").distinct()
+    a = a.withColumn("w", F.regexp_extract("alias", _WORDS, 0))
+    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0)), F.array(F.lit(""))))
+    few = a.limit(most + 1).collect()
+    if len(few) <= most:
+        table: dict[str, list] = {}
+        for r in few:
+            table.setdefault(r.w, []).append((r.alias, r.field_id))
+        shipped = spark.sparkContext.broadcast(table)
+
+        @F.pandas_udf(_HITS)
+        def hits(text: pd.Series, words: pd.Series) -> pd.Series:
+            held, patterns = shipped.value, {}
+            return pd.Series([chosen_hits(t, [x for w in ws if w in held for x in held[w]], patterns) for t, ws in zip(text, words)], dtype="object")
+
+        found = queries.where("text is not null").select("query_id", "text", F.explode(hits("text", words)).alias("c"))
+    else:
+        said = queries.select("query_id", F.explode(words).alias("w"))
+        met = said.hint("merge").join(a, "w").groupBy("query_id").agg(F.collect_list(F.struct("alias", "field_id")).alias("met"))
+
+        @F.pandas_udf(_HITS)
+        def hits_of(text: pd.Series, met: pd.Series) -> pd.Series:
+            patterns: dict[str, re.Pattern] = {}
+            return pd.Series([chosen_hits(t, [(x["alias"], x["field_id"]) for x in m], patterns) for t, m in zip(text, met)], dtype="object")
+
+        found = queries.select("query_id", "text").join(met, "query_id").select("query_id", "text", F.explode(hits_of("text", "met")).alias("c"))
+    return found.select("query_id", "text", "c.st", "c.en", "c.field_id")
 
 
 _N = r"(\d+\s*[- ]\s*\d+/\d+|\d+/\d+|\d+(?:\.\d+)?)"
@@ -147,12 +190,13 @@ def boosts(cons: DataFrame, numbers: DataFrame, rows: DataFrame) -> DataFrame:
     return held.groupBy("query_id", "row_id").agg(F.min(proximity(F.col("x"), F.col("value"), F.col("tau_boost"))).alias("boost"))
 
 
-def rank_lists(queries: DataFrame, vectors: DataFrame, channels=("title", "desc", "specs"), block_rows: int = 4096) -> DataFrame:
+def rank_lists(queries: DataFrame, vectors: DataFrame, channels=("title", "desc", "specs"), block_rows: int = 4096, unit: bool = False) -> DataFrame:
     """``(query_id, variant, channel, rank, row_id, sim)``: exact top ``pull`` by inner product of unit vectors, to 12 decimals; ties to smaller ids.
 
-    ``queries (query_id, variant, vec, pull)``, ``vectors (row_id, channel, vec)``.  Queries are dealt to row groups of
-    about ``block_rows`` and scored there; a list's winners per group are ranked again, so a shuffle
-    moves queries and winners, never a score for each pair.
+    ``queries (query_id, variant, vec, pull)``, ``vectors (row_id, channel, vec)``; ``unit``: vectors are of length 1
+    already, as an index holds them.  Queries are dealt to row groups of about ``block_rows`` and scored there,
+    many at a time; a list's winners per group are ranked again, so a shuffle moves queries and winners, never
+    a score for each pair.
     """
     import numpy as np
     import pyarrow as pa
@@ -160,29 +204,41 @@ def rank_lists(queries: DataFrame, vectors: DataFrame, channels=("title", "desc"
     total = vectors.count()
     groups = max(1, -(-total // block_rows))
     part = F.pmod(F.xxhash64(F.lit(1), "row_id", "channel"), F.lit(groups)).cast("int")
-    v = vectors.select("channel", part.alias("part"), F.lit(0).alias("kind"), F.lit("").alias("variant"), F.lit(0).alias("pull"), F.col("row_id").cast("long").alias("id"), unit_vector(F.col("vec")).alias("vec"))
+    own = F.col("vec").cast("array<double>") if unit else unit_vector(F.col("vec"))
+    v = vectors.select("channel", part.alias("part"), F.lit(0).alias("kind"), F.lit("").alias("variant"), F.lit(0).alias("pull"), F.col("row_id").cast("long").alias("id"), own.alias("vec"))
     each = queries.withColumn("channel", F.explode(F.array(*map(F.lit, channels))))
     q = each.select("channel", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(1).alias("kind"), "variant", F.col("pull").cast("int").alias("pull"), F.col("query_id").cast("long").alias("id"), unit_vector(F.col("vec")).alias("vec"))
     names = ["query_id", "variant", "channel", "pull", "row_id", "sim"]
 
+    def best_of(rows, ids, batch, channel):
+        asked = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        took, places, sims = [], [], []
+        for q, pull, score in zip(range(batch.num_rows), batch.column(4).to_pylist(), np.round(asked @ rows.T, 12)):  # equal vectors tie
+            some = np.flatnonzero(score >= np.partition(score, len(score) - pull)[len(score) - pull]) if pull < len(score) else np.arange(len(score))
+            some = some[np.lexsort((ids[some], -score[some]))[:pull]]
+            took.append(np.full(len(some), q)), places.append(ids[some]), sims.append(score[some])
+        took = pa.array(np.concatenate(took))
+        column = lambda i: batch.column(i).take(took)
+        return pa.RecordBatch.from_arrays([column(5), column(3), pa.array([channel] * len(took)), column(4), pa.array(np.concatenate(places)), pa.array(np.concatenate(sims))], names)
+
     def run(batches):
-        key, ids, held = None, [], []
+        key, ids, held, rows = None, [], [], None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for r in range(b.num_rows):
-                ch, p, kind, variant, pull, i = (c[r] for c in cols)
-                if (ch, p) != key:
-                    key, ids, held, m, x = (ch, p), [], [], None, None
-                vec = np.array(b.column(6)[r].as_py(), float)
+            runs = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            edges = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1]), len(runs)]
+            for lo, hi in zip(edges, edges[1:]):
+                channel, part, kind = runs[lo]
+                if (channel, part) != key:
+                    key, ids, held, rows = (channel, part), [], [], None
+                some = b.slice(lo, hi - lo)
                 if kind == 0:
-                    ids.append(i)
-                    held.append(vec)
+                    ids.append(some.column(5).to_numpy())
+                    held.append(some.column(6).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1))
                 elif ids:
-                    if m is None:
-                        m, x = np.stack(held), np.array(ids)
-                    sims = np.round(m @ vec, 12)  # equal vectors tie, wherever they lie in the block
-                    best = np.lexsort((x, -sims))[:pull]
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(best), pa.int64()), pa.array([variant] * len(best)), pa.array([ch] * len(best)), pa.array([pull] * len(best), pa.int32()), pa.array(x[best], pa.int64()), pa.array(sims[best])], names)
+                    if rows is None:
+                        rows, ids = np.concatenate(held), [np.concatenate(ids)]
+                    for at in range(0, hi - lo, 256):
+                        yield best_of(rows, ids[0], some.slice(at, 256), channel)
 
     dealt = v.unionByName(q).repartition("channel", "part").sortWithinPartitions("channel", "part", "kind")
     won = dealt.mapInArrow(run, "query_id long, variant string, channel string, pull int, row_id long, sim double")
@@ -214,27 +270,29 @@ def semantic_scores(cand: DataFrame, lists: DataFrame, o: SearchOptions) -> Data
     return cand.join(lists.withColumn("part", w * F.col("sim")), ["query_id", "row_id"], "left").groupBy("query_id", "row_id").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("sem"))
 
 
-def search(queries: DataFrame, query_vectors: DataFrame, meta: DataFrame, vectors: DataFrame, numbers: DataFrame, schema: DataFrame, aliases: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+def search(queries: DataFrame, query_vectors: DataFrame, meta: DataFrame, vectors: DataFrame, numbers: DataFrame, schema: DataFrame, aliases: DataFrame, options: SearchOptions = SearchOptions(), unit: bool = False) -> DataFrame:
     """``(query_id, rank, row_id, score, kind)`` and the meta columns; ``kind`` is ``sku`` (rank 0) or ``ranked``.
 
     ``queries (query_id, text)``; ``query_vectors (query_id, variant full|obj, vec)`` embed the text and its
-    ``object_query``.  Every stage is a join or a grouping over all queries at once.
+    ``object_query``; ``unit``: ``vectors`` are of length 1 already.  Every stage is a join or a grouping over all
+    queries at once.  What several stages read (constraints, shortlists, lists, candidates) is a row for each query
+    and hit, and is written to the shared folder, so that each stage is planned by itself.  Equal scores to
+    9 decimals tie, to the smaller row.
     """
     o = options
-    cons = constraints(alias_hits(queries, aliases), schema, o.window).persist()
-    short = shortlist(cons, numbers).persist()
+    cons = hold(constraints(alias_hits(queries, aliases), schema, o.window))
+    short = hold(shortlist(cons, numbers))
     # with no constraint on a known field every row is on the shortlist
     some_known = cons.where("known").select("query_id").distinct()
     base = max(o.pull, 50 * o.k)
-    query_vectors = query_vectors.persist()
     sizes = short.groupBy("query_id").agg((3 * F.count("*")).alias("more"))
     pulls = query_vectors.join(sizes, "query_id", "left").select("query_id", "variant", "vec", F.greatest(F.lit(base), F.coalesce("more", F.lit(0))).cast("int").alias("pull"))
-    lists = rank_lists(pulls, vectors).persist()  # read by five branches below
-    cand = candidates(lists, short, some_known, o)
+    lists = hold(rank_lists(pulls, vectors, unit=unit))
+    cand = hold(candidates(lists, short, some_known, o))
     score = semantic_scores(cand, lists, o).join(boosts(cons, numbers, cand), ["query_id", "row_id"], "left").select("query_id", "row_id", (F.col("sem") + o.w_num * F.coalesce("boost", F.lit(0.0))).alias("score"))
-    sku = sku_matches(queries, meta, 1, o.sku_cutoff).select("query_id", F.lit(0).alias("rank"), "row_id", F.col("ratio").alias("score"), F.lit("sku").alias("kind"), "norm")
+    sku = hold(sku_matches(queries, meta, 1, o.sku_cutoff).select("query_id", F.lit(0).alias("rank"), "row_id", F.col("ratio").alias("score"), F.lit("sku").alias("kind"), "norm"))
     shown = score.join(meta.select("row_id", sku_form(F.col("sku")).alias("own")), "row_id").join(sku.select("query_id", "norm"), "query_id", "left").where("norm is null or own != norm")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "row_id"))
     ranked = shown.withColumn("rank", rank).where(F.col("rank") <= o.k).select("query_id", "rank", "row_id", "score", F.lit("ranked").alias("kind"))
     shape = meta.withColumn("description", F.substring("description", 1, 220))
     return sku.drop("norm").unionByName(ranked).join(shape, "row_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import HARD_FAMILIES
 from ..operators import aliases as al
 from ..operators import categorize, channels, embed, harvest, numeric, search
+from ..sources.held import hold
 
 
 @dataclass
@@ -21,10 +22,6 @@ class Mined:
     warnings: DataFrame
     enriched: dict[str, DataFrame]
 
-    def release(self) -> None:
-        for df in (self.raw_keys, self.fields, *self.enriched.values()):
-            df.unpersist()
-
 
 @dataclass
 class Index:
@@ -39,30 +36,31 @@ class Index:
         """Answers to ``queries (query_id, text)``."""
         both = queries.select("query_id", F.inline(F.array(F.struct(F.lit("full").alias("variant"), F.col("text").alias("t")), F.struct(F.lit("obj").alias("variant"), search.object_query(F.col("text")).alias("t")))))
         vecs = embed.embed_text(both, "t", self.embedder).select("query_id", "variant", "vec")
-        return search.search(queries, vecs, self.meta, self.vectors, self.numbers, self.schema, self.aliases, options)
+        return search.search(queries, vecs, self.meta, self.vectors, self.numbers, self.schema, self.aliases, options, unit=True)
 
 
 def mine(catalog: DataFrame, specs_col: str = "specs", order: str = "row_id", min_support: int = 3, thread_share: float = 1.0, drop_meta: bool = True, families=HARD_FAMILIES, max_aliases: int = 5, **alias_options) -> Mined:
     """Keys, fields and aliases of a catalog.
 
-    The tables here have a row for each distinct attribute name or alias.  They are held, as
-    later steps read them many times; ``release`` lets them go.
+    The tables here have a row for each distinct attribute name or alias.  Those that later
+    steps read many times are written to the shared folder.
     """
-    keys = harvest.harvest_keys(catalog, specs_col, order).persist()
+    keys = hold(harvest.harvest_keys(catalog, specs_col, order))
     raw = keys.withColumn("ord", F.struct((-F.col("count")).alias("c"), "first_row", "first_pos"))
-    fields = categorize.build_fields(raw, min_support, thread_share, drop_meta).persist()
+    fields = hold(categorize.build_fields(raw, min_support, thread_share, drop_meta))
     # a row for each distinct attribute name
-    placed = fields.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("count"), "first", "signature")))
-    enriched = al.enrich(placed.persist(), families, max_aliases=max_aliases, **alias_options)
-    return Mined(keys, fields, categorize.report(fields), categorize.audit(fields), categorize.warnings(fields), {k: v.persist() for k, v in enriched.items()})
+    placed = hold(fields.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("count"), "first", "signature"))))
+    enriched = al.enrich(placed, families, max_aliases=max_aliases, **alias_options)
+    return Mined(keys, fields, categorize.report(fields), categorize.audit(fields), categorize.warnings(fields), {k: hold(v) if k in ("fields", "aliases") else v for k, v in enriched.items()})
 
 
 def build_index(catalog: DataFrame, mined: Mined, embedder=None, specs_col: str = "specs", order: str = "row_id", literal: bool = False) -> Index:
-    """Meta rows, channel vectors and the numeric table of a catalog."""
+    """Meta rows, channel vectors of length 1 and the numeric table of a catalog, each written once."""
     embedder = embedder or embed.hash_embedder()
     ch = channels.build_channels(catalog, order, specs_col)
     schema = numeric.numeric_schema(mined.enriched["fields"])
     owners = mined.enriched["aliases"].join(mined.enriched["fields"].select(F.col("id").alias("field_id"), "ord"), "field_id", "left")
-    keys = numeric.key_fields(owners, schema).persist()
-    numbers = numeric.numeric_long(numeric.spec_pairs(catalog, order, specs_col), keys, schema, literal).persist()
-    return Index(channels.meta_rows(ch), embed.channel_vectors(ch, embedder).persist(), schema, numbers, mined.enriched["aliases"], embedder)
+    keys = hold(numeric.key_fields(owners, schema))
+    numbers = hold(numeric.numeric_long(numeric.spec_pairs(catalog, order, specs_col), keys, schema, literal))
+    vectors = embed.channel_vectors(ch, embedder).withColumn("vec", search.unit_vector(F.col("vec")))
+    return Index(hold(channels.meta_rows(ch)), hold(vectors), schema, numbers, mined.enriched["aliases"], embedder)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, looks_like_sku, object_query, sku_form, snake_id, title_label
 from ..functions.values import classify, to_canonical
 from ..operators import aliases, categorize, channels, harvest, numeric, search
+from ..sources.held import hold
 from . import catalog as plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +62,7 @@ def part_schema(spark: SparkSession) -> DataFrame:
 def part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = part_schema(spark)
     keys = numeric.key_fields(spark.createDataFrame(ALIASES, "ord int, text string, field_id string"), schema)
-    return numeric.numeric_long(numeric.spec_pairs(part_catalog(spark, sf_dir)), keys, schema).persist()
+    return numeric.numeric_long(numeric.spec_pairs(part_catalog(spark, sf_dir)), keys, schema)
 
 
 NUMBERS = """numbers AS (
@@ -172,9 +174,19 @@ def seed_aliases(spark, sf_dir):
     return categorize.seed_aliases(keyed).select("id", F.posexplode("aliases").alias("place", "a")).select("id", "a.text", "a.count", "a.confidence", "place")
 
 
-@query(None)
+#: Of each key the report has one sample, that of the first part.
+MINED = [("overall_length", "Overall Length", LENGTH), ("wheel_diameter", "Wheel Diameter", WHEEL), ("weight", "Weight", SPECS["Weight"]), ("voltage", "Voltage", SPECS["Voltage"]), ("sku", "Sku", SPECS["sku"])]
+
+
+@query(f"""
+WITH one AS (SELECT * FROM part ORDER BY p_partkey LIMIT 1), f AS (SELECT unnest([{", ".join(f"{{'id': '{i}', 'label': '{n}', 'example': {e}}}" for i, n, e in MINED)}]) AS x FROM one), g AS (
+  SELECT x.id AS id, x.label AS label, x.example AS example, CASE WHEN x.id IN ('voltage', 'sku') THEN '' WHEN x.id = 'weight' THEN 'lb' ELSE regexp_extract(x.example, '[a-z]+$') END AS unit, CASE x.id WHEN 'weight' THEN 'mass' WHEN 'voltage' THEN '' WHEN 'sku' THEN '' ELSE 'length' END AS family FROM f)
+SELECT id, label, CASE WHEN unit = '' THEN 'string' ELSE 'numeric' END AS type, family AS unit_family, (SELECT count(*) FROM part) AS count, 1::BIGINT AS n_samples, (unit <> '')::BIGINT AS n_scalar_unit, 0::BIGINT AS n_scalar_unitless,
+  (id = 'voltage')::BIGINT AS n_range, 0::BIGINT AS n_dual, 0::BIGINT AS n_thread, (id = 'sku')::BIGINT AS n_unknown, unit AS units_seen, family AS families_seen, example,
+  CASE id WHEN 'sku' THEN 'name_pin' WHEN 'voltage' THEN 'string_with_violations' ELSE 'numeric_all_scalar/family_single' END AS decision FROM g
+""")
 def mined_fields(spark, sf_dir):
-    """The whole of key mining over the part catalog: a row a field (held against brute force in the tests)."""
+    """The whole of key mining over the part catalog: a row a field."""
     return plan.mine(part_catalog(spark, sf_dir)).report
 
 
@@ -212,12 +224,65 @@ def blocked_alias(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.expr(ALIAS_TEXT).alias("alias")).select("p_partkey", "alias", aliases.blocked_reason(F.col("alias")).alias("reason"))
 
 
-@query(None)
+@query("""
+SELECT unnest(['Overall Length', 'Wheel Diameter', 'Weight', 'Voltage', 'Sku', 'sku', 'Wt', 'Wheel Dia', 'Wheel Diam']) AS text, unnest(['overall_length', 'wheel_diameter', 'weight', 'voltage', 'sku', 'sku', 'weight', 'wheel_diameter', 'wheel_diameter']) AS field_id
+""")
 def alias_enrichment(spark, sf_dir):
     """Aliases of the catalog's mined fields after seeds, candidates and gates."""
     return plan.mine(part_catalog(spark, sf_dir)).enriched["aliases"]
 
 
+#: kind of a field by part: (end of its id, its label, family, seeds, words of compounds)
+FIELD_KINDS = [
+    ("_od", "Outside Diameter", "length", ["Outside Diameter", "OD", "O.D."], ["OD", "O.D.", "Outside Diameter"]),
+    ("_id", "Inside Diameter", "length", ["Inside Diameter", "ID", "I.D."], ["ID", "I.D.", "Inside Diameter", "Bore"]),
+    ("-weight", "Weight", "mass", ["Weight", "Wt"], ["Weight", "Wt"]),
+    ("-flow", "Flow", "flow", ["Flow", "CFM", "SCFM", "GPM", "LPM"], ["Flow", "CFM", "SCFM", "GPM", "LPM"]),
+    ("-grip", "Grip", "length", [], []),
+]
+PREFIX = "CASE WHEN p_partkey % 7 = 0 THEN 'Kit' WHEN p_partkey % 11 = 0 THEN repeat('X', 46) ELSE initcap(split_part(p_name, ' ', 1)) END"
+OWN_ALIAS = f"CASE WHEN p_partkey % 13 = 0 THEN {PREFIX} || ' OD' ELSE 'alias ' || p_partkey END"
+_duck = lambda s: s.replace("initcap(split_part(p_name, ' ', 1))", "upper(p_name[1]) || lower(split_part(p_name, ' ', 1)[2:])")
+_kinds = ", ".join(f"({k}, '{end}', '{label}', {seeds or '[]::VARCHAR[]'}, {words or '[]::VARCHAR[]'})" for k, (end, label, _, seeds, words) in enumerate(FIELD_KINDS))
+
+
+@query(f"""
+WITH kinds(k, tail, name, seeds, words) AS (VALUES {_kinds}), f AS (
+  SELECT p_partkey AS ord, 'p' || p_partkey || tail AS id, {_duck(PREFIX)} AS prefix, {_duck(PREFIX)} || ' ' || name AS label, p_partkey % 3 <> 0 AS work, {_duck(OWN_ALIAS)} AS own, seeds, words FROM part JOIN kinds ON k = p_partkey % 5),
+t AS (SELECT ord, id, label, work, unnest([label, own] || CASE WHEN work THEN seeds ELSE [] END) AS text, unnest(range(2 + CASE WHEN work THEN len(seeds) ELSE 0 END)) AS pos FROM f),
+owner AS (SELECT text, arg_min(id, ord * 100 + pos) AS field_id FROM t GROUP BY text),
+c0 AS (SELECT ord, id, label, own, unnest(words) AS word, prefix || ' ' || unnest(words) AS cand, unnest(range(len(words))) AS pos FROM f WHERE work),
+c1 AS (SELECT *, CASE WHEN lower(cand) IN (SELECT lower(text) FROM owner) THEN 'collision_other_field_seed' WHEN length(cand) > 48 THEN 'too_long' WHEN starts_with(cand, 'Kit ') THEN 'blacklist_token' END AS why
+  FROM c0 WHERE lower(cand) NOT IN (lower(label), lower(own), lower(id))),
+c2 AS (SELECT *, min(CASE WHEN why IS NULL THEN ord * 100 + pos END) OVER (PARTITION BY lower(cand)) AS won FROM c1),
+c AS (SELECT *, CASE WHEN won IS NOT NULL AND ord * 100 + pos > won THEN 'collision_other_field_seed' ELSE why END AS reason FROM c2)
+SELECT 'accepted' AS audit, id AS field_id, unnest(seeds) AS text, 'seed_enrich' AS note FROM f WHERE work
+UNION ALL SELECT 'accepted', id, cand, 'compound_or_base' FROM c WHERE reason IS NULL
+UNION ALL SELECT 'blocked', id, cand, reason FROM c WHERE reason IS NOT NULL
+UNION ALL SELECT 'collisions', id, text, field_id || '/global_collision_seed_or_candidate' FROM t JOIN owner USING (text) WHERE id <> field_id
+UNION ALL SELECT 'collisions', id, cand, '/' || reason FROM c WHERE reason = 'collision_other_field_seed'
+UNION ALL SELECT 'orphans', id, label, '' FROM f WHERE work AND len(seeds) = 0
+UNION ALL SELECT 'summary', f.id, f.label, (1 + len(seeds)) || '/' || (SELECT count(*) FROM c WHERE c.id = f.id AND reason IS NULL) FROM f WHERE work
+UNION ALL SELECT 'aliases', field_id, text, '' FROM owner UNION ALL SELECT 'aliases', id, cand, '' FROM c WHERE reason IS NULL
+""")
+def alias_audits(spark, sf_dir):
+    """Seeds, candidates, gates and audits over a field for each part."""
+    pick = lambda i: F.get(F.array(*[F.lit(row[i]) for row in FIELD_KINDS]), F.col("p_partkey") % 5)
+    own = F.expr(spark_sql(OWN_ALIAS))
+    fields = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ord"), F.concat(F.lit("p"), text("p_partkey"), pick(0)).alias("id"), F.concat(F.expr(PREFIX), F.lit(" "), pick(1)).alias("label"),
+        F.when(F.col("p_partkey") % 3 != 0, "numeric").otherwise("string").alias("type"), pick(2).alias("unit_family"), F.array(F.struct(own.alias("text"))).alias("aliases"),
+    )
+    e = aliases.enrich(fields)
+    row = lambda df, audit, field, what, note: df.select(F.lit(audit).alias("audit"), F.col(field).alias("field_id"), F.col(what).alias("text"), note.alias("note"))
+    out = row(e["accepted"], "accepted", "field_id", "candidate", F.col("source"))
+    out = out.unionByName(row(e["blocked"], "blocked", "field_id", "candidate", F.col("reason")))
+    out = out.unionByName(row(e["collisions"], "collisions", "new_field", "alias", F.concat(F.coalesce("existing_field", F.lit("")), F.lit("/"), "reason")))
+    out = out.unionByName(row(e["orphans"], "orphans", "field_id", "label", F.lit("")))
+    out = out.unionByName(row(e["summary"], "summary", "field_id", "label", F.concat_ws("/", "existing_aliases", "added")))
+    return out.unionByName(row(e["aliases"], "aliases", "field_id", "text", F.lit("")))
+
+
 # --- numeric matrix ---
 
 KEY_TEXT = "CASE p_size % 4 WHEN 0 THEN ' OVERALL  length' WHEN 1 THEN 'Wheel Diameter' WHEN 2 THEN 'weight' ELSE p_name END"
@@ -310,7 +375,7 @@ def vector_lists(spark, sf_dir, pull: int = PULL) -> DataFrame:
     vectors = e.select(F.col("vec_id").alias("row_id"), F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.expr(x).alias("vec")) for c, x in CHANNELS.items()])))
     more = F.transform("embedding", lambda x: x + F.lit(0.125).cast("float"))
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit(pull).alias("pull"), F.inline(F.array(F.struct(F.lit("full").alias("variant"), F.col("embedding").alias("vec")), F.struct(F.lit("obj").alias("variant"), more.alias("vec")))))
-    return search.rank_lists(queries, vectors).persist()
+    return hold(search.rank_lists(queries, vectors))
 
 
 @query(f"WITH {LISTS} SELECT query_id, variant, channel, rank, row_id, round(sim, 6) AS sim FROM lists")
@@ -383,6 +448,51 @@ def hybrid_search_deep(spark, sf_dir):
     return hybrid_search(spark, sf_dir, DEPTH)
 
 
+# --- search from end to end: a catalog is mined, indexed and asked ---
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_counts(texts):
+    """An embedder that SQL can express: how often each letter and digit occurs."""
+    return np.array([[t.lower().count(c) for c in LETTERS] for t in texts], np.float32).reshape(len(texts), len(LETTERS))
+
+
+TITLE_SQL = "CASE WHEN contains(lower(p_name), lower(p_brand)) THEN p_name ELSE p_name || ' — ' || p_brand END"
+SPECS_SQL = f"concat_ws(chr(10), 'Overall Length: ' || {LENGTH}, 'Type: ' || p_type, 'Voltage: 12-' || (p_size + 12) || ' V', 'Weight: ' || p_retailprice || ' lbs', 'Wheel Diameter: ' || {WHEEL})"
+ASKED = "CASE WHEN p_partkey % 200 = 0 THEN p_brand || '-' || p_partkey ELSE p_name || ' overall length ' || p_size || ' in' END"
+_vector = lambda t: f"list_transform({list(LETTERS)}, lambda c: (length({t}) - length(replace({t}, c, '')))::DOUBLE)"
+
+
+@query(f"""
+WITH e AS (SELECT p_partkey AS row_id, unnest(['title', 'desc', 'specs']) AS channel, lower(unnest([{TITLE_SQL}, '(no description)', {SPECS_SQL}])) AS t FROM part),
+ch AS (SELECT row_id, channel, {_vector('t')} AS v FROM e),
+a AS (SELECT p_partkey AS query_id, p_partkey % 200 = 0 AS by_sku, p_size, lower({ASKED}) AS t FROM part WHERE p_partkey % 100 = 0),
+b AS (SELECT query_id, unnest(['full', 'obj']) AS variant, unnest([t, array_to_string(string_split(t, ' ')[1:3], ' ')]) AS t FROM a), q AS (SELECT query_id, variant, {_vector('t')} AS v FROM b),
+short AS (SELECT query_id, p_partkey AS row_id FROM a JOIN part ON part.p_size = a.p_size WHERE NOT by_sku),
+pull AS (SELECT query_id, greatest(250, 3 * count(short.row_id)) AS pull FROM a LEFT JOIN short USING (query_id) GROUP BY query_id),
+sims AS (SELECT query_id, variant, channel, row_id, round(list_dot_product(q.v, ch.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-12) * (sqrt(list_dot_product(ch.v, ch.v)) + 1e-12)), 12) AS sim FROM q, ch),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant, channel ORDER BY sim DESC, row_id) AS r FROM sims),
+lists AS (SELECT ranks.* FROM ranks JOIN pull USING (query_id) WHERE r <= pull),
+pool AS (SELECT query_id, row_id, max(sim) AS best FROM lists WHERE r <= 250 AND query_id NOT IN (SELECT query_id FROM short) GROUP BY ALL),
+hit AS (SELECT DISTINCT query_id, row_id FROM lists SEMI JOIN short USING (query_id, row_id)),
+cand AS (SELECT query_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, row_id) AS p FROM pool) WHERE p <= 600
+  UNION ALL SELECT * FROM hit UNION ALL SELECT * FROM short WHERE query_id NOT IN (SELECT query_id FROM hit)),
+s AS (SELECT cand.query_id, cand.row_id, any_value(CASE WHEN by_sku THEN 0 ELSE 0.25::DOUBLE END) + coalesce(sum(sim * CASE variant WHEN 'full' THEN 0.95::DOUBLE ELSE 0.05::DOUBLE END * CASE channel WHEN 'title' THEN 0.35::DOUBLE WHEN 'desc' THEN 0.5::DOUBLE ELSE 0.15::DOUBLE END), 0) AS score
+  FROM cand JOIN a USING (query_id) LEFT JOIN lists ON lists.query_id = cand.query_id AND lists.row_id = cand.row_id WHERE NOT (by_sku AND cand.query_id = cand.row_id) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id)::INTEGER AS rank FROM s),
+won AS (SELECT query_id, rank, row_id, score, 'ranked' AS kind FROM top WHERE rank <= 5 UNION ALL SELECT query_id, 0, query_id, 1, 'sku' FROM a WHERE by_sku)
+SELECT query_id, rank, row_id, round(score, 6)::DOUBLE AS score, kind, {TITLE_SQL} AS raw_title FROM won JOIN part ON p_partkey = row_id
+""")
+def catalog_search(spark, sf_dir):
+    """Parts whose id 100 divides are asked for, by SKU or by name and length, over the mined and indexed part catalog."""
+    # this catalog states a SKU for the identity columns as well
+    catalog = part_catalog(spark, sf_dir).withColumn("sku", F.concat_ws("-", "brand", "row_id"))
+    index = plan.build_index(catalog, plan.mine(catalog), letter_counts)
+    asked = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.expr(spark_sql(ASKED)).alias("text"))
+    return index.search(asked).select("query_id", "rank", "row_id", F.round("score", 6).alias("score"), "kind", "raw_title")
+
+
 # --- texts ---
 
 
@@ -445,16 +555,12 @@ def near_scalars(spark, sf_dir):
 # --- channels ---
 
 
-@query("""
-SELECT p_partkey AS row_id, CASE WHEN contains(lower(p_name), lower(p_brand)) THEN p_name ELSE p_name || ' — ' || p_brand END AS title_text, '(no description)' AS desc_text FROM part
-""")
+@query(f"SELECT p_partkey AS row_id, {TITLE_SQL} AS title_text, '(no description)' AS desc_text FROM part")
 def title_channel(spark, sf_dir):
     return channels.build_channels(part_catalog(spark, sf_dir)).select("row_id", "title_text", "desc_text")
 
 
-@query(f"""
-SELECT p_partkey AS row_id, concat_ws(chr(10), 'Overall Length: ' || {LENGTH}, 'Type: ' || p_type, 'Voltage: 12-' || (p_size + 12) || ' V', 'Weight: ' || p_retailprice || ' lbs', 'Wheel Diameter: ' || {WHEEL}) AS specs_text FROM part
-""")
+@query(f"SELECT p_partkey AS row_id, {SPECS_SQL} AS specs_text FROM part")
 def spec_channel(spark, sf_dir):
     return channels.build_channels(part_catalog(spark, sf_dir)).select("row_id", "specs_text")
 

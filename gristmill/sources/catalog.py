@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
-
 KEYS = "keys array<string>"
 
 
@@ -45,8 +43,8 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file in ``schema``; a line that can't be read is a row of nulls, so that places stay aligned."""
-    lines = spark.read.text(path).where(strip(F.col("value")) != "").withColumn("row_id", F.monotonically_increasing_id())
+    """Rows of a JSON-lines file in ``schema``; a blank line or one that can't be read is a row of nulls, so that places stay aligned."""
+    lines = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
     return lines.select("row_id", F.from_json("value", schema).alias("r")).select("row_id", "r.*")
 
 
