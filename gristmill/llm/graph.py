@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_at, drop_cut
+from .common import cut_counted, drop_cut, few_tasks
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _held(edges: DataFrame) -> tuple:
+    """The edges as a table, its path, and a count and checksum of them."""
+    held, path, seen = cut_counted(edges, F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    return held, path, (seen["rows"], seen["sum"])
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
@@ -25,8 +26,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     spark = edges.sparkSession
     edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u != v")
     # (u, v) with u > v throughout
-    now, path = cut_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(now)
+    now, path, state = _held(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     if not state[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
@@ -37,9 +37,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         # small star: lower neighbours of u and u itself move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        new, new_path = cut_at(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct())
+        rest = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()
+        new, new_path, new_state = _held(few_tasks(rest, 2 * state[0]))
         drop_cut(spark, path)
-        now, path, before, state = new, new_path, state, _state(new)
+        now, path, before, state = new, new_path, state, new_state
         if state == before:
             break
     else:

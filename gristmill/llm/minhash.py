@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut
+from .common import cut, cut_counted, few_tasks, salted_join
 from .graph import connected_components
 from .mixing import numbered
 
@@ -41,6 +41,8 @@ LEVELS, SMALL = 6, 200
 TUNING = ((0.85, 5, 0.55, 0.88), (0.8, 2, 0.5, 0.92))
 #: Documents and shingles of a block that is compared in one task.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 1_500_000
+#: Rows of one node that meet its pivot in one task.
+PART = 5_000
 FACTORS = shingles.seeds(COORDINATES, 31) | np.uint64(1)
 MASKS = shingles.seeds(COORDINATES, 37)
 
@@ -75,25 +77,6 @@ def set_hash(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
-    """Slices of a batch with about ``most`` bytes of text."""
-    start, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist() if batch.num_rows else []
-    for i, n in enumerate(lengths):
-        size += n or 0
-        if size >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def lists(table: np.ndarray) -> pa.ListArray:
-    """A list a row."""
-    rows, width = table.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(table.ravel()))
-
-
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``(k, n, h1, h2, roots, sketch)``: size and hash of each text's set, its root tokens, and 16 bits of each token."""
 
@@ -101,12 +84,12 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
         import pyarrow.compute  # noqa: F401
 
         for whole in batches:
-            for b in pieces(whole, 1):
+            for b in shingles.pieces(whole, 1):
                 hashes, counts = shingles.text_sets(b.column(1), width)
                 h1, h2 = set_hash(hashes, counts)
                 tokens = minwise(hashes, counts)
-                roots = lists(tokens[:, : TREES * ROOTS].copy().view(np.int64))
-                sketch = lists((tokens >> np.uint64(24)).astype(np.uint16).view(np.int16))
+                roots = shingles.lists(tokens[:, : TREES * ROOTS].copy().view(np.int64))
+                sketch = shingles.lists((tokens >> np.uint64(24)).astype(np.uint16).view(np.int16))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), roots, sketch], ["k", "n", "h1", "h2", "roots", "sketch"])
 
     src = docs.select(docs[id_col].cast("long").alias("k"), docs[text_col].alias("t"))
@@ -181,21 +164,26 @@ def coarse_links(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     second, alike, same = next((t[1:] for t in TUNING if threshold >= t[0]), TUNING[-1][1:])
     paths = F.array(*[F.xxhash64(F.lit(t), F.lit(TREES * r + t), F.col("roots")[TREES * r + t]) for t in range(TREES) for r in range(ROOTS)])
     held = sets.select("k", "sketch", F.col("k").alias("label"), paths.alias("paths"))
-    small, stars = None, []
+    small, stars, n_rows = None, [], None
     for level in range(LEVELS + 1):
         rows = held.select("k", "label", F.explode("paths").alias("path"))
         nodes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min(F.struct("k", "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m > 1 and lo < hi")
-        found = cut(rows.join(nodes.select("path", "m", F.col("pivot.k").alias("pivot"), F.col("pivot.label").alias("own")), "path").join(held.select("k", "sketch"), "k"))
+        met = salted_join(rows, nodes.select("path", "m", F.col("pivot.k").alias("pivot"), F.col("pivot.label").alias("own")), ["path"], "k").join(held.select("k", "sketch"), "k")
+        found, _, seen = cut_counted(met if n_rows is None else few_tasks(met, 2 * n_rows, 50_000), F.count_if(F.col("m") > SMALL).alias("large"))
         few = found.where(F.col("m") <= SMALL).select("path", "k", "sketch")
         small = few if small is None else small.unionByName(few)
-        large = found.where(F.col("m") > SMALL)
-        if large.isEmpty():
+        if not seen["large"]:
             break
-        pivots = large.where("k = pivot").select("path", F.col("sketch").alias("of_pivot"))
+        # a node's rows are dealt by k as well, and its pivot goes to each part
+        parts = F.ceil(F.col("m") / PART).cast("int")
+        large = found.where(F.col("m") > SMALL).withColumn("part", F.pmod(F.xxhash64(F.lit(6), "k"), parts).cast("int"))
+        pivots = large.where("k = pivot").select("path", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sketch").alias("of_pivot"))
         equal = F.size(F.filter(F.zip_with("sketch", "of_pivot", lambda a, b: a == b), lambda x: x)) / COORDINATES
-        judged = cut(large.where("k != pivot").join(pivots, "path").select("path", "k", "label", "pivot", "own", equal.alias("equal"), "sketch"))
+        compared = large.where("k != pivot").join(pivots, ["path", "part"]).select("path", "k", "label", "pivot", "own", equal.alias("equal"), "sketch")
+        judged, _, seen = cut_counted(few_tasks(compared, seen["large"], 50_000))
+        n_rows = seen["rows"]
         # documents that a path could not part at its end stay together: more to compare, nothing lost
-        stars.append(judged.where(F.col("equal") >= (alike if level < LEVELS else 0.0)).select(F.col("k").alias("u"), F.col("pivot").alias("v")).distinct())
+        stars.append(judged.where(F.col("equal") >= (alike if level < LEVELS else 0.0)).select(F.col("k").alias("u"), F.col("pivot").alias("v")))
 
         def branch(j: int) -> Column:
             at = F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
@@ -203,7 +191,8 @@ def coarse_links(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
 
         deeper = F.when(F.pmod(F.xxhash64("path"), F.lit(second)) == 0, F.array(branch(0), branch(1))).otherwise(F.array(branch(0)))
         best = F.min(F.least("label", F.when(F.col("equal") >= alike, F.col("own"))))
-        held = cut(judged.where(F.col("equal") < same).groupBy("k").agg(F.first("sketch").alias("sketch"), best.alias("label"), F.array_distinct(F.flatten(F.collect_set(deeper))).alias("paths")))
+        rest = judged.where(F.col("equal") < same).groupBy("k").agg(F.first("sketch").alias("sketch"), best.alias("label"), F.array_distinct(F.flatten(F.collect_set(deeper))).alias("paths"))
+        held = cut(few_tasks(rest, n_rows, 50_000))
     out = small.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: small_node_links(b, alike), "u long, v long")
     for more in stars[1:]:
         stars[0] = stars[0].unionByName(more)
@@ -298,7 +287,7 @@ def full_sets(docs: DataFrame, members: DataFrame, width: int, id_col: str, text
 
         seen: set = set()  # of a task; what other tasks repeat is compared twice, to no harm
         for whole in batches:
-            for b in pieces(whole, whole.num_columns - 1):
+            for b in shingles.pieces(whole, whole.num_columns - 1):
                 hashes, counts = shingles.text_sets(b.column(b.num_columns - 1), width)
                 h1, h2 = set_hash(hashes, counts)
                 ends = np.cumsum(counts) * 8
@@ -331,9 +320,12 @@ def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id
     # an id that stands for several texts is one node with all their links
     groups = connected_components(coarse_links(sets.select("k", "roots", "sketch"), threshold))
     member = sets.join(groups, sets["k"] == groups["node"]).select("k", "n", "h1", "h2", F.col("component").alias("cid"))
-    member = cut(member)
+    member, _, seen = cut_counted(member)
     sizes = member.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = cut(member.join(sizes, "cid").select("k", "cid", F.pmod(F.xxhash64(F.lit(1), "k"), F.col("blocks")).cast("int").alias("block"), "h1", "h2"))
+    # groups of several blocks; at most a row for each BLOCK_DOCS members or BLOCK_SHINGLES shingles
+    many, _, of_many = cut_counted(few_tasks(sizes.where("blocks > 1"), seen["rows"]))
+    place = F.pmod(F.xxhash64(F.lit(1), "k"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = cut(salted_join(member, many, ["cid"], "k", "left").select("k", "cid", place.alias("block"), "h1", "h2"))
     with bloom_join(docs.sparkSession):
         held = cut(full_sets(docs, placed, width, id_col, text_col))
 
@@ -344,8 +336,7 @@ def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id
 
     first = cut(held.repartition("cid", "block").sortWithinPartitions("cid", "block").mapInArrow(within, "u long, v long"))
     true = first
-    many = cut(sizes.where("blocks > 1"))
-    if not many.isEmpty():
+    if of_many["rows"]:
         true = first.unionByName(across_blocks(held, many, first, num, den))
     comps = connected_components(true)
     by_set = sets.join(comps, sets["k"] == comps["node"], "left").select("h1", "h2", F.coalesce("component", "k").alias("component"))
@@ -363,7 +354,7 @@ def across_blocks(held: DataFrame, many: DataFrame, first: DataFrame, num: int,
     every block, so that each pair of different components has been compared in full.
     """
     # pass 1: the least document of each block
-    large = held.join(many, "cid")
+    large = salted_join(held, many, ["cid"], "k")
     stars = large.groupBy("cid", "block").agg(F.min("k").alias("k"))
     marked = large.join(stars.select("cid", "k", F.lit(True).alias("star")), ["cid", "k"], "left").withColumn("star", F.coalesce("star", F.lit(False)))
     pass_1 = cut(_meet(marked.withColumn("fringe", F.col("star")).withColumn("label", F.col("k")), num, den))
@@ -371,7 +362,7 @@ def across_blocks(held: DataFrame, many: DataFrame, first: DataFrame, num: int,
     comps = connected_components(first.unionByName(pass_1))
     label = cut(large.select("cid", "block", "blocks", "k").join(comps, large["k"] == comps["node"], "left").select("cid", "k", F.coalesce("component", "k").alias("label")).distinct())
     top = label.groupBy("cid", "label").agg(F.count("*").alias("m")).groupBy("cid").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    with_label = large.join(label, ["cid", "k"]).join(top, "cid").withColumn("fringe", F.col("label") != F.col("main"))
+    with_label = large.join(salted_join(label, top, ["cid"], "k"), ["cid", "k"]).withColumn("fringe", F.col("label") != F.col("main"))
     return pass_1.unionByName(cut(_meet(with_label, num, den)))
 
 
@@ -379,7 +370,7 @@ def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Each fringe document against every document of its group with another label, a block of fringe and a block of the group at a time."""
     fringe = rows.where("fringe")
     count = fringe.groupBy("cid").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
-    base = rows.join(count, "cid").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "k"), F.col("parts")).cast("int"))
+    base = salted_join(rows, count, ["cid"], "k").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "k"), F.col("parts")).cast("int"))
     group = base.select("cid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "k", "label", F.lit(False).alias("fringe"), "set", F.col("part").alias("own"), F.col("fringe").alias("f"))
     group = group.where("not (f and own = part)").select("cid", "part", "block", "k", "label", "fringe", "set")
     sides = base.where("fringe").select("cid", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "k", "label", "fringe", "set")
