@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import WORD
 from .license_scan import TEMPLATES
 from .quality_rules import RULES as QUALITY_RULES
+from .quality_rules import tightening
 from .url_filter import CANONICAL, PARTS, REFRESH
 from .url_filter import RULES as URL_RULES
 
@@ -77,9 +78,8 @@ FROM pages LEFT JOIN parts ON parts.url = pages.url LEFT JOIN fit ON fit.url = p
 
 
 def rules_sql(risk: float = 0.05, delta: float = 0.05) -> str:
-    tests = [(r, m, high, c, i) for i, (r, m, high, c) in enumerate((r, m, h, c) for r, m, h, cuts in QUALITY_RULES for c in cuts)]
-    rows = ", ".join(f"('{r}', '{m}', {str(high).lower()}, {c}::DOUBLE, {i})" for r, m, high, c, i in tests)
-    p = risk / len(QUALITY_RULES)
+    path = tightening()
+    rows = ", ".join(f"('{m}', {str(high).lower()}, {at[r]}::DOUBLE, {i})" for i, at in enumerate(path) for r, m, high, _ in QUALITY_RULES)
     return f"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
@@ -97,18 +97,16 @@ m AS (
 ), v AS (
   SELECT doc_id, stratum, base_failed, unnest(['symbols_per_word', 'dup_line_share', 'repeat_share', 'chars_per_word']) AS measure,
     unnest([coalesce(n_symbols / nullif(n_words, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(n_repeat_words / nullif(n_words, 0), 0), coalesce(word_chars / nullif(n_words, 0), 0)]) AS x FROM s
-), tests(rule, measure, high, cutoff, ord) AS (VALUES {rows}),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-k AS (
-  SELECT stratum, rule, measure, high, cutoff, ord, count(*) AS n, count(*) FILTER (WHERE CASE WHEN high THEN x > cutoff ELSE x < cutoff END) AS k
-  FROM v JOIN good USING (doc_id) JOIN tests USING (measure) WHERE NOT base_failed GROUP BY ALL
-), tail AS (
-  SELECT *, CASE WHEN k >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) END AS tail
+), tests(measure, high, cutoff, step) AS (VALUES {rows}),
+rejected AS (SELECT doc_id, step FROM v JOIN tests USING (measure) GROUP BY doc_id, step HAVING bool_or(CASE WHEN high THEN x > cutoff ELSE x < cutoff END)),
+good AS (SELECT s.doc_id, stratum FROM s JOIN labels USING (doc_id) WHERE NOT base_failed GROUP BY ALL HAVING min(quality) = 1),
+n AS (SELECT stratum, count(*) AS n FROM good GROUP BY stratum),
+k AS (SELECT stratum, any_value(n) AS n, step, count(rejected.doc_id) AS k FROM n JOIN good USING (stratum) CROSS JOIN range({len(path)}) AS steps(step) LEFT JOIN rejected USING (doc_id, step) GROUP BY stratum, step),
+tail AS (
+  SELECT *, CASE WHEN k >= n * {risk} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) END AS tail
   FROM k
-), cutoffs AS (
-  SELECT stratum, rule, any_value(measure) AS measure, any_value(high) AS high, arg_min(cutoff, ord) AS cutoff FROM tail
-  WHERE tail <= {delta} / ((SELECT count(DISTINCT stratum) FROM k) * {len(tests)}) GROUP BY stratum, rule
-), bad AS (SELECT DISTINCT doc_id FROM v JOIN cutoffs USING (stratum, measure) WHERE CASE WHEN high THEN x > cutoff ELSE x < cutoff END)
+), ends AS (SELECT stratum, coalesce(min(step) FILTER (WHERE tail > {delta} / (SELECT count(*) FROM n)), {len(path)}) AS first_failure FROM tail GROUP BY stratum),
+bad AS (SELECT doc_id FROM rejected JOIN s USING (doc_id) JOIN ends USING (stratum) WHERE step = first_failure - 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept, stratum
 FROM s LEFT JOIN bad USING (doc_id)
 """

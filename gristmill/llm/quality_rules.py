@@ -19,6 +19,18 @@ RULES = (
 )
 
 
+def tightening(rules=RULES) -> list[dict[str, float]]:
+    """The sequence of settings that are tested: all rules at their mildest cutoff, then one rule after the other a step stricter, in turn."""
+    now = {r: len(cuts) - 1 for r, _, _, cuts in rules}
+    path = [dict(now)]
+    while any(now.values()):
+        for r in now:
+            if now[r]:
+                now[r] -= 1
+                path.append(dict(now))
+    return [{r: cuts[at[r]] for r, _, _, cuts in rules} for at in path]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -89,39 +101,50 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).otherwise(F.exp(total))
 
 
-def certified_cutoffs(shares: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, rules=RULES, label_id: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """``(stratum, rule, cutoff)``: the strictest cutoff of each rule that is certified in a stratum.
+def rejecting_step(rules=RULES) -> Column:
+    """The first setting of ``tightening`` under which a row of ``with_shares`` is rejected; one beyond the last if none is."""
+    path = tightening(rules)
+    out = F.lit(len(path))
+    for r, measure, high, cuts in rules:
+        for c in cuts:
+            start = next(i for i, at in enumerate(path) if at[r] == c)
+            out = F.least(out, F.when(F.col(measure) > c if high else F.col(measure) < c, F.lit(start)).otherwise(F.lit(len(path))))
+    return out
+
+
+def certified_steps(shares: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, rules=RULES, label_id: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """``(stratum, n, step, cutoffs)``: the strictest setting that is certified in a stratum, strata with none left out.
 
-    A cutoff is certified if, over the stratum's labelled good documents that pass the
-    base rules, the exact binomial test rejects "its false rejection rate is above
-    risk / rules" at level delta / (strata * cutoffs of all rules) (Bonferroni).  So with
-    probability 1 - delta every stratum loses at most ``risk`` of its good documents.  A
-    document with several labels counts by its lowest.  Strata without enough labels get
-    no rule.
+    ``shares (doc_id, stratum, base_failed, step)``.  Settings are tested from mild to strict and
+    the first that fails ends the sequence, so that none but the strata share ``delta``
+    (fixed-sequence tests, Bonferroni over strata).  A setting passes if, over the stratum's
+    labelled good documents that pass the base rules, the exact binomial test rejects "more than
+    ``risk`` of them are rejected by some rule" at level delta / strata.  So with probability
+    1 - delta every stratum loses at most ``risk`` of its good documents.  A document with
+    several labels counts by its lowest.
     """
+    path = tightening(rules)
     good = labels.select(labels[label_id].alias("doc_id"), labels[quality_col].alias("q")).where("doc_id is not null").groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").select("doc_id")
     held = shares.where("not base_failed").join(good, "doc_id", "left_semi")
-    tests = [(r, m, high, c) for r, m, high, cuts in rules for c in cuts]
-    fails = lambda m, high, c: F.col(m) > c if high else F.col(m) < c
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(fails(m, high, c)).alias(f"k{i}") for i, (_, m, high, c) in enumerate(tests)])
-    counts = cut(counts)
-    long = counts.select("stratum", "n", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.lit(i).alias("ord"), F.col(f"k{i}").alias("k")) for i, (r, _, _, c) in enumerate(tests)])))
-    strata = counts.count()
-    tested = long.withColumn("tail", binomial_tail(F.col("n"), F.col("k"), risk / len(rules)))
-    return tested.where(F.col("tail") <= delta / max(1, strata * len(tests))).groupBy("stratum", "rule").agg(F.min_by("cutoff", "ord").alias("cutoff"))
+    # a row for each stratum and step
+    counts = cut(held.groupBy("stratum", "step").agg(F.count("*").alias("own")))
+    strata = counts.select("stratum").distinct().count()
+    steps = counts.groupBy("stratum").agg(F.sum("own").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "own"))).alias("own"))
+    upto = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0).cast("long"), lambda s, j: s + F.coalesce(F.try_element_at("own", j), F.lit(0)))
+    tested = F.transform(F.sequence(F.lit(0), F.lit(len(path) - 1)), lambda i: binomial_tail(F.col("n"), upto(i), risk) <= delta / max(1, strata))
+    fails = F.coalesce(F.nullif(F.array_position(tested, F.lit(False)), F.lit(0)), F.lit(len(path) + 1))
+    settings = F.array(*[F.struct(*[F.lit(c).alias(r) for r, c in at.items()]) for at in path])
+    return steps.select("stratum", "n", (fails - 2).cast("int").alias("step")).where("step >= 0").select("stratum", "n", "step", F.get(settings, F.col("step")).alias("cutoffs"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, rules=RULES, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` and ``stratum``.
 
-    Not kept: documents that fail the base rules, or any certified rule of their stratum.
+    Not kept: documents that fail the base rules, or a rule at the cutoffs certified for their
+    stratum.  Repeated rows and null ids give a row each; a null id has no label.
     """
-    shares = with_shares(cut(measures(docs, id_col, text_col, stratum_col)))
-    cutoffs = certified_cutoffs(shares, labels, risk, delta, rules)
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r, *_ in rules])
-    out = shares.join(cut(wide), "stratum", "left")
-    rejected = [F.coalesce((F.col(m) > F.col(f"c_{r}")) if high else (F.col(m) < F.col(f"c_{r}")), F.lit(False)) for r, m, high, _ in rules]
-    kept = ~F.col("base_failed")
-    for x in rejected:
-        kept = kept & ~x
+    shares = cut(with_shares(measures(docs, id_col, text_col, stratum_col)).withColumn("step", rejecting_step(rules)))
+    certified = cut(certified_steps(shares, labels, risk, delta, rules)).select("stratum", F.col("step").alias("certified"))
+    out = shares.join(certified, "stratum", "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("step") > F.col("certified"), F.lit(True))
     return out.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "stratum")

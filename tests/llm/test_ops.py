@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -243,15 +244,58 @@ def test_binomial_tail(spark):
         assert r.p == pytest.approx(want, rel=1e-9)
 
 
-def test_rules_keep_good_documents(spark):
-    good = [" ".join(f"word{(i * 7 + j) % 997}" for j in range(60)) for i in range(900)]
-    bad = [" ".join("%%%# $$$ ***" for _ in range(30)) + f" {i} " + " ".join(f"v{j}" for j in range(30)) for i in range(30)]
-    df = documents(spark, good + bad)
-    labels = spark.createDataFrame([(i, 1 if i < 900 else 0) for i in range(930)], "doc_id long, quality int")
-    kept = {r.doc_id for r in quality_rules.judge_quality(df, labels).where("kept").collect()}
-    assert len(kept & set(range(900))) >= 0.95 * 900 and not kept & set(range(900, 930))
-    none = quality_rules.judge_quality(df, labels.where("false")).collect()
-    assert all(r.kept == (not r.base_failed) for r in none)
+def rule_tables(spark):
+    """Three strata: one with many labels and symbols in bad texts, one with long words in good ones, one with few labels."""
+    rows, labels = [], []
+    add = lambda text, lang, q: (rows.append((len(rows), text, lang)), labels.append((rows[-1][0], q)))
+    for i in range(400):
+        add(" ".join(f"word{(i * 7 + j) % 997}" for j in range(60)), "en", 1)
+        add(" ".join(f"wort{'lang' * (i % 10 == 0)}{(i * 7 + j) % 997}" for j in range(60)), "de", 1)
+    for i in range(40):
+        add(" ".join(f"v{j}{i} ##" for j in range(30)), ("en", "de", None)[i % 3], 0)
+        add(" ".join(f"mot{i}x{j}" for j in range(30)), "fr", 1)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_rules_certify_and_equal_sql(spark):
+    docs, labels = rule_tables(spark)
+    shares = quality_rules.with_shares(quality_rules.measures(docs)).withColumn("step", quality_rules.rejecting_step())
+    steps = {r.stratum: r for r in quality_rules.certified_steps(shares, labels).collect()}
+    path = quality_rules.tightening()
+    assert set(steps) == {"en", "de"} and steps["en"].n == 400 and steps["en"].step > steps["de"].step and steps["de"].cutoffs.asDict() == path[steps["de"].step]
+    out = quality_rules.judge_quality(docs, labels)
+    lost = {s: sum(not r.kept for r in out.collect() if r.stratum == s) for s in ("en", "de", "fr", "")}
+    assert lost["en"] == 14 and lost["de"] >= 13 and lost["fr"] == lost[""] == 0  # where nothing is certified, no rule applies
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas()), con.register("labels", labels.toPandas())
+    got = con.execute(queries.SQL["op8_quality_rules"])
+    names = [d[0] for d in got.description]
+    assert sorted(map(repr, (tuple(r[names.index(c)] for c in out.columns) for r in got.fetchall()))) == sorted(repr(tuple(r)) for r in out.collect())
+
+
+def test_rules_fixed_sequence_by_hand(spark):
+    docs, labels = rule_tables(spark)
+    shares = quality_rules.with_shares(quality_rules.measures(docs)).collect()
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    for s, row in {r.stratum: r for r in quality_rules.certified_steps(quality_rules.with_shares(quality_rules.measures(docs)).withColumn("step", quality_rules.rejecting_step()), labels).collect()}.items():
+        own = [r for r in shares if r.stratum == s and r.doc_id in good and not r.base_failed]
+        passed = []
+        for at in quality_rules.tightening():
+            k = sum(any((r[m] > at[name]) if high else (r[m] < at[name]) for name, m, high, _ in quality_rules.RULES) for r in own)
+            passed.append(sum(math.comb(len(own), j) * 0.05**j * 0.95 ** (len(own) - j) for j in range(k + 1)) <= 0.05 / 3)
+        assert row.step == (passed + [False]).index(False) - 1
+
+
+def test_rules_odd_tables(spark):
+    docs, labels = rule_tables(spark)
+    none = quality_rules.judge_quality(docs, labels.where("false")).collect()
+    assert len(none) == docs.count() and all(r.kept == (not r.base_failed) for r in none)
+    assert quality_rules.judge_quality(docs.where("false"), labels).count() == 0
+    odd = documents(spark, ODD).drop("stratum").unionByName(documents(spark, ODD).drop("stratum")).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
+    got = quality_rules.judge_quality(odd, labels.unionByName(labels)).collect()
+    assert len(got) == 2 * len(ODD) and sum(r.doc_id is None for r in got) == 8
+    long = spark.createDataFrame([(1, "ab cd ef gh ij " * 60_000, "en")], "doc_id long, text string, lang string")
+    assert tuple(quality_rules.judge_quality(long, labels).first())[1:3] == (300_000, 600_000)
 
 
 def test_line_dedup(spark):
