@@ -416,9 +416,9 @@ def worker_tokenizer(key: str, raw: bytes) -> Tokenizer:
 
 
 def _shipped(spark: SparkSession, path: str):
-    """The vocabulary file (a few MB at most) to the executors, which need no copy of their own."""
+    """The whole vocabulary file to the executors, which need no copy of their own; its size doesn't grow with the documents."""
     with open(path, "rb") as f:
-        raw = f.read(64 << 20)
+        raw = f.read()
     return hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
 
 

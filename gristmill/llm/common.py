@@ -14,16 +14,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's folder in ``spark.checkpoint.dir``, which driver and executors share; it goes when the driver's JVM ends.
 
-    Where it is unset, a local session (tests) gets a temporary folder, and any other
+    Where that is unset, a local session (tests) gets a temporary folder, and any other
     session writes beside its warehouse.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.conf.get("spark.master", "").startswith("local["):
-        found = tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/gristmill-cuts"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and spark.conf.get("spark.master", "").startswith("local["):
+        top = tempfile.mkdtemp(prefix="gristmill-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    top = top or f"{spark.conf.get('spark.sql.warehouse.dir')}/gristmill-cuts"
+    path = f"{top.rstrip('/')}/gristmill-{spark.sparkContext.applicationId}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gristmill-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

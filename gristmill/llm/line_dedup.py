@@ -24,19 +24,23 @@ def _line_windows(text: Column, width: int) -> Column:
     return F.get(F.transform(F.array(held), windows), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with later occurrences of repeated line windows cut from ``text_col``, plus a column ``lines``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, info_col: str = "lines") -> DataFrame:
+    """``docs`` with later occurrences of repeated line windows cut from ``text_col``.
 
-    ``lines`` is a struct of ``total`` and ``removed``.  Lines end at ``\\n`` and are compared
+    All columns of ``docs`` are kept, whatever their names, and a struct of ``total`` and
+    ``removed`` is added last, as ``info_col`` (with ``_`` at its end where a column is so named).  Lines end at ``\\n`` and are compared
     without blanks at their ends; lines without words are skipped when windows are formed and
     go with a window that spans them.  The first occurrence, by document id (null last), text
     hash and line, stays; every later window goes, and covered lines are merged.  Texts of
-    fewer than ``width`` such lines and null texts stay as they are.  Equal rows with equal
-    ids count as one occurrence.  All columns of ``docs`` are kept, whatever their names.
+    fewer than ``width`` such lines and null texts stay as they are.  Rows of one id and text
+    count as one occurrence and all stay, cut alike.
 
     A window is told by 128 bits of hash.  Counting combines before its shuffle; the join of
     windows with their first places is one that adaptive execution splits where a window is hot.
+    Texts are shuffled once, by id, to meet their spans.
     """
+    while info_col in docs.columns:
+        info_col += "_"
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text, key = F.col("row")[text_col], F.col("row")[id_col]
     keyed = rows.select("row", key.alias("k"), F.xxhash64(text).alias("t"))
@@ -61,4 +65,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row")[text_col])
     removed = F.coalesce(F.col("total") - F.size("kept"), F.lit(0))
     info = F.struct(n.cast("long").alias("total"), F.when(F.col("kept").isNull(), 0).otherwise(removed).cast("long").alias("removed"))
-    return done.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns], info.alias("lines"))
+    return done.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns], info.alias(info_col))

@@ -78,6 +78,8 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int
         state = cut(new.select("sk", "target", "mean", "full", lam.alias("lam"), "lo", "hi", "error"))
         if (state.agg(F.max("error")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"the dual is not settled to {tolerance} after {rounds} rounds")
     return state.select("sk", "mean", "lam", "full")
 
 

@@ -6,7 +6,7 @@ from .common import WORD
 from .license_scan import TEMPLATES
 from .quality_rules import RULES as QUALITY_RULES
 from .quality_rules import tightening
-from .url_filter import CANONICAL, PARTS, REFRESH
+from .url_filter import BASE, CANONICAL, HREF, PARTS, REFRESH, TARGET
 from .url_filter import RULES as URL_RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,15 +50,22 @@ def url_sql() -> str:
     part = lambda url, i: f"coalesce(regexp_extract({url}, {quoted(PARTS)}, {i}), '')"
     host = lambda url: f"translate({part(url, 1)}, '{UPPER}', '{LOWER}')"
     key = lambda url: f"CASE WHEN {part(url, 1)} <> '' THEN concat({host(url)}, chr(10), {part(url, 2)}, chr(10), {part(url, 3)}) END"
-    href, target = quoted("(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"), quoted("(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)")
+    dots = lambda p: f"""array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace({p}, '(/\\.\\.?)$', '\\1/'), '/'), lambda s: [s])),
+      lambda a, x: CASE WHEN x = ['..'] THEN a[:greatest(len(a) - 1, 1)] WHEN x = ['.'] THEN a ELSE a || x END), '/')"""
+    root = lambda base: f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)"
+    path = lambda base: f"coalesce(nullif({part(base, 2)}, ''), '/')"
+    absolute = lambda t, base: f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains({t}, '://') THEN {t} END
+      WHEN starts_with({t}, '//') THEN regexp_extract({base}, '(?s)^(.*?):', 1) || ':' || {t} WHEN {t} = '' OR starts_with({t}, '#') THEN NULL
+      WHEN starts_with({t}, '?') THEN {root(base)} || {path(base)} || {t}
+      ELSE {root(base)} || {dots(f"CASE WHEN starts_with({t}, '/') THEN '' ELSE regexp_extract({path(base)}, '(?s)^(.*/)', 1) END || regexp_extract({t}, '(?s)^([^?#]*)', 1)")} || regexp_extract({t}, '(?s)([?#].*)$', 1) END"""
+    href, target = quoted(HREF), quoted(TARGET)
     return f"""
 WITH RECURSIVE rules(h, p, rule, verdict) AS (VALUES {rules}), links AS (
-  SELECT url, unnest(list_concat(list_transform(regexp_extract_all(html, {quoted(CANONICAL)}), lambda t: regexp_extract(t, {href}, 1)),
+  SELECT url, regexp_extract(regexp_extract(html, {quoted(BASE)}), {href}, 1) AS told, unnest(list_concat(list_transform(regexp_extract_all(html, {quoted(CANONICAL)}), lambda t: regexp_extract(t, {href}, 1)),
     list_transform(regexp_extract_all(html, {quoted(REFRESH)}), lambda t: regexp_extract(t, {target}, 1)))) AS t
   FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
-), made AS (
-  SELECT url AS a, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?):', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t ELSE t END AS b FROM links
+), based AS (SELECT url, t, coalesce({absolute('told', 'url')}, url) AS base FROM links), made AS (
+  SELECT url AS a, {absolute('t', 'base')} AS b FROM based
 ), ends AS (SELECT a, b, {key('a')} AS u, {key('b')} AS v FROM made WHERE contains(b, '://')),
 edges AS (SELECT u, v FROM ends WHERE u <> v UNION SELECT v, u FROM ends WHERE u <> v),
 reach AS (SELECT u AS x, v AS y FROM edges UNION SELECT reach.x, edges.v FROM reach JOIN edges ON edges.u = reach.y),

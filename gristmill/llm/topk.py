@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Dimensions added at a time, queries scored together, and candidates that one task holds.
-DIMS, QUERIES, ROWS = 16, 128, 100_000
+#: Dimensions added at a time, queries scored together, and components (candidates times dimensions) that one task holds.
+DIMS, QUERIES, CELLS = 16, 128, 6_400_000
 MOST = (1 << 63) - 1
 
 
@@ -84,15 +84,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     same number of dimensions.  Vectors that are null or hold a null or non-finite component, and
     rows without an id, take no part; rows that repeat id and vector count once, and of
     several vectors under one id each counts, the best first.  Scores beyond 64 bits are held
-    at its ends.  Candidates are dealt into groups of at most about ``ROWS``, queries go to each
+    at its ends.  Candidates are dealt into groups of about ``CELLS`` components at most, queries go to each
     group, and a task holds one group in vertical layout while queries stream past it; of each
     group ``k`` rows a query are shuffled to be ranked.
     """
     spark = vectors.sparkSession
     src = vectors.select(vectors[id_col].cast("long").alias("id"), quantised(vectors[vector_col]).alias("q")).where("id is not null and q is not null").distinct()
     src = cut(src.withColumn("dims", F.size("q")))
-    total = src.count()
-    groups = max(-(-total // ROWS), min(4 * spark.sparkContext.defaultParallelism, -(-total // 512)), 1)
+    total, cells = src.agg(F.count("*"), F.sum("dims")).first()
+    groups = max(-(-(cells or 0) // CELLS), min(4 * spark.sparkContext.defaultParallelism, -(-total // 512)), 1)
     place = F.pmod(F.xxhash64(F.lit(1), "id", "q"), F.lit(groups)).cast("int")
     candidates = src.select("dims", place.alias("part"), F.lit(0).alias("kind"), "id", "q")
     queries = src.where(F.col("id") % every == 0).select("dims", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(1).alias("kind"), "id", "q")

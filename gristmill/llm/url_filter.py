@@ -16,6 +16,10 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 
+BASE = r"(?is)<base\b[^>]*>"
+HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -49,15 +53,41 @@ def alias_key(url: Column) -> Column:
     return F.when(url_host(url) != "", F.md5(key))
 
 
-def html_links(html: Column, base: Column) -> Column:
-    """Targets of canonical links and of refresh redirects in a page, made absolute."""
-    pick = lambda tag, pattern: F.regexp_extract(tag, pattern, 1)
-    canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda t: pick(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"))
-    refresh = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: pick(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"))
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments."""
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/", -1)
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def absolute(target: Column, base: Column) -> Column:
+    """A link's target made absolute; null where it names no host (``mailto:``) or is empty."""
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"(?s)^(.*?):", 1)
-    whole = lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(scheme, F.lit(":"), u)).when(F.startswith(u, F.lit("/")), F.concat(root, u)).otherwise(u)
-    return F.filter(F.transform(F.concat(canonical, refresh), whole), lambda u: F.contains(u, F.lit("://")))
+    path = F.coalesce(F.nullif(url_path(base), F.lit("")), F.lit("/"))
+    tail = F.regexp_extract(target, r"(?s)([?#].*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    return (
+        F.when(F.rlike(target, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), F.when(F.contains(target, F.lit("://")), target))
+        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?):", 1), F.lit(":"), target))
+        .when((target == "") | F.startswith(target, F.lit("#")), F.lit(None))
+        .when(F.startswith(target, F.lit("?")), F.concat(root, path, target))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, without_dots(own), tail))
+        .otherwise(F.concat(root, without_dots(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), own)), tail))
+    )
+
+
+def html_links(html: Column, url: Column) -> Column:
+    """Targets of canonical links and of refresh redirects in a page, made absolute against its ``<base href>`` or its URL."""
+    pick = lambda tag, pattern: F.regexp_extract(tag, pattern, 1)
+    canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda t: pick(t, HREF))
+    refresh = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: pick(t, TARGET))
+    told = pick(F.regexp_extract(html, BASE, 0), HREF)
+    base = F.coalesce(absolute(told, url), url)
+    return F.filter(_let(base, lambda b: F.transform(F.concat(canonical, refresh), lambda u: absolute(u, b))), lambda u: F.contains(u, F.lit("://")))
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -84,5 +114,7 @@ def judge_urls(pages: DataFrame, edges: DataFrame, rules=RULES, id_col: str = "p
     src = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     src = src.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), alias_key(F.col("url")).alias("node"))
     src = src.withColumn("r", fitting_rule(F.col("host"), F.col("path"), rules))
+    # pages without a host have no alias; a key of their own keeps them apart
+    src = src.withColumn("node", F.coalesce("node", F.concat(F.lit("-"), F.xxhash64("page_id", "host", "path").cast("string"))))
     out = src.join(by_node, "node", "left")
     return out.select(F.col("page_id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("alias_verdict"), F.lit("allow")).alias("verdict"))

@@ -303,6 +303,13 @@ def test_line_dedup(spark):
     texts = [para, "intro\n" + para + "\nend", "alpha one\nbeta two", "x\nalpha one\n\n beta two \ngamma three\ny", None, "", "a\na\na\na\na\nb"]
     df = documents(spark, texts)
     got = {r.doc_id: (r.text, r["lines"].total, r["lines"].removed) for r in line_dedup.dedup_lines(df.drop("lines")).collect()}
+    clash = line_dedup.dedup_lines(df)
+    assert clash.columns == [*df.columns, "lines_"] and {r.doc_id: r.text for r in clash.collect()} == {i: x[0] for i, x in got.items()}
+    twice = df.drop("lines").unionByName(df.drop("lines")).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    again = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(twice).collect()]
+    assert sorted(again, key=repr) == sorted([(i, x[0]) for i, x in got.items() if i != 3] * 2 + [(None, got[3][0])] * 2, key=repr)
+    long = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(30_000))), (2, "\n".join(f"line {i}" for i in range(29_990, 30_010)))], "doc_id long, text string")
+    assert [r["lines"].removed for r in line_dedup.dedup_lines(long).orderBy("doc_id").collect()] == [0, 10]
     assert got[0] == (para, 4, 0) and got[1] == ("intro\nend", 6, 4) and got[2] == (texts[2], 2, 0)
     assert got[3] == ("x\ny", 6, 4) and got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == ("a\nb", 6, 4)
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
@@ -324,6 +331,26 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.where("false"), url_filter.page_edges(df.where("false"))).count() == 0
 
 
+def test_url_filter_equals_sql_with_links(spark):
+    link, jump = '<head>{}<link href="{}" rel=canonical></head>', "<meta http-equiv=Refresh content='3; URL={}'>"
+    base = '<base href="http://hub.org/dir/sub/page?x">'
+    rows = [
+        ("http://hub.org/dir/a", link.format("", "b?q=1#f")), ("http://hub.org/dir/b?q=1", jump.format("../up/./c")), ("http://hub.org/up/c", link.format("", "http://spam.net/es/z")),
+        ("http://lone.org", link.format("", "?id=3")), ("http://lone.org/?id=3", jump.format("//ok.com")), ("http://x.org/1", link.format(base, "../y")), ("http://hub.org/dir/y", jump.format("http://q.net/fr/")),
+        ("http://m.org/", link.format("", "mailto:a@b.c")), ("http://n.org/a/b", link.format("", "..")), ("http://n.org/", jump.format("http://q.net/fr/")), ("http://o.org/", link.format("", "#top")), ("nothing", jump.format("x")), (None, None), ("", ""),
+    ]
+    rows = [(i, u, h) for i, (u, h) in enumerate(rows * 2)] + [(None, "http://hub.org/dir/a", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = url_filter.judge_urls(df, url_filter.page_edges(df))
+    verdicts = {r.page_id: r.verdict for r in out.collect()}
+    assert [verdicts[i] for i in range(14)] == ["block"] * 3 + ["allow"] * 2 + ["block"] * 2 + ["allow"] + ["block"] * 2 + ["allow"] * 4 and verdicts[None] == "block"
+    con = duckdb.connect()
+    con.register("pages", df.toArrow())
+    got = con.execute(queries.SQL["op7_url_filter"])
+    names = [d[0] for d in got.description]
+    assert sorted(map(repr, (tuple(r[names.index(c)] for c in out.columns) for r in got.fetchall()))) == sorted(repr(tuple(r)) for r in out.collect())
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES[2][1]
     texts = ["intro text\n  RELEASED under the MIT license!!\nmore", mit, None, "", "nothing here", mit + "\n" + license_scan.TEMPLATES[4][1]]
