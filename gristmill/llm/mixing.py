@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import log
+from math import floor, log
 from operator import and_
 
 import pandas as pd
@@ -83,13 +83,22 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int
     return state.select("sk", "mean", "lam", "full")
 
 
-def round_cells(key, cells: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies of each size of one source, from the largest down; what rounding leaves passes to the next size."""
+def round_cells(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    """Whole copies of each size of one source, from the largest down; what rounding leaves passes to the smaller sizes.
+
+    Of the two whole numbers beside what is due, the one is taken that leaves least beyond what
+    smaller sizes can still give or take, then the nearer one.
+    """
     cells = cells.sort_values("size", ascending=False)
+    sizes, wants, mosts = (cells[c].tolist() for c in ("size", "want", "most"))
+    less = sum(wants)  # what smaller sizes can give up, and take on
+    more = sum(m * s for m, s in zip(mosts, sizes)) - less
     carry, copies = 0.0, []
-    for size, n, want, most in zip(cells["size"].tolist(), cells["n"].tolist(), cells["want"].tolist(), cells["most"].tolist()):
+    for size, want, most in zip(sizes, wants, mosts):
+        less, more = less - want, more - (most * size - want)
         due = want + carry
-        took = int(min(most, max(0, round(due / size))))
+        near = {min(most, max(0, floor(due / size) + up)) for up in (0, 1)}
+        took = min(sorted(near), key=lambda c: (max(0.0, due - c * size - more, c * size - due - less), abs(due - c * size)))
         copies.append(took)
         carry = due - took * size
     return cells.assign(copies=copies)[["sk", "size", "n", "copies"]]

@@ -3,16 +3,19 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gristmill.llm import bpe, graph, license_scan, line_dedup, minhash, mixing, quality_classifier, quality_rules, queries, topk, url_filter
+from gristmill.llm import bpe, graph, license_scan, line_dedup, minhash, mixing, quality_classifier, quality_rules, queries, shingles, topk, url_filter
 
 from ..oracle import SF, same_rows
 
@@ -360,7 +363,63 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(documents(spark, texts), templates=()).where("license is not null").count() == 0
 
 
+def brute_line_dedup(rows):
+    """``{doc_id: text}`` of ``(doc_id, text)`` rows in order of ids, without later windows of three lines."""
+    seen, out = set(), {}
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        held = [(j, x.strip(" \t\n\x0b\x0c\r")) for j, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        gone = set()
+        for w in zip(held, held[1:], held[2:]):
+            key = tuple(x for _, x in w)
+            if key in seen:
+                gone.update(range(w[0][0], w[2][0] + 1))
+            seen.add(key)
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else text
+    return out
+
+
+def tilted_rates(sizes, target, cap=2.0):
+    """The entropy-balanced rate of each size, by bisection of the dual; an independent solution."""
+    total, mean = sum(sizes), sum(sizes) / len(sizes)
+    if target >= cap * total:
+        return lambda x: cap
+    rate = lambda lam, x: min(cap, math.exp(min(lam * x / mean, 1.0)))
+    low, high = -1e4, 1e4
+    for _ in range(300):
+        at = (low + high) / 2
+        low, high = (at, high) if sum(x * rate(at, x) for x in sizes) < target else (low, at)
+    return lambda x: rate(low, x)
+
+
+def held_to_tilted_rates(rows):
+    """Copies by size of ``(source, size, copies)`` rows follow the tilted rates: words taken from the largest size on are off by a document at most, unless all smaller ones are full or out."""
+    by = {}
+    for s, x, c in rows:
+        if x:
+            by.setdefault(s, []).append((x, c))
+    want = brute_targets({s: sum(x for x, _ in v) for s, v in by.items()} | {s: 0 for s, x, _ in rows if s not in by})
+    for s, docs in by.items():
+        rate, off = tilted_rates([x for x, _ in docs], want[s]), 0.0
+        for x in sorted({x for x, _ in docs}, reverse=True):
+            own = [c for y, c in docs if y == x]
+            off += x * (sum(own) - len(own) * rate(x))
+            assert abs(off) <= x + 1e-6 * want[s] or all(c == (2 if off < 0 else 0) for y, c in docs if y < x), (s, x, off)
+            assert max(own) - min(own) <= 1
+
+
+def test_mixing_follows_tilted_rates(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(4, 1) + 1)), rng.choice("aaaabc")) for i in range(1500)] + [(2000 + i, "w " * 25, "c") for i in range(300)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    held_to_tilted_rates([(source[r.doc_id], r["size"], r.copies) for r in out])
+    # the same ids in another order and partitioning take the same
+    assert len({r.copies for r in out}) == 3
+
+
 def test_pipeline_stages(spark):
+    """Each stage of the pipeline over its own input against brute force."""
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -370,10 +429,79 @@ def test_pipeline_stages(spark):
         stage(spark, held[-1], SF).write.mode("overwrite").parquet(path)
         held.append(spark.read.parquet(path))
     assert all(h.columns == docs.columns for h in held[:-1])
-    ids = [sorted(r.doc_id for r in h.select("doc_id").collect()) for h in held]
-    assert set(ids[1]) <= set(ids[0]) and ids[2] == ids[1] and set(ids[4]) <= set(ids[3]) and ids[5] == ids[4]
-    rows = held[2].orderBy("doc_id").collect()
-    want = brute_components([r.text for r in rows])
-    assert ids[3] == [rows[i].doc_id for i, _, _, k in want if k]
+    rows = [sorted(map(tuple, h.collect())) for h in held[:-1]]
+    model = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert rows[1] == [r for r in rows[0] if quality_classifier.score_texts(pa.array([r[1]]), model)[0] >= 0.3]
+    text = brute_line_dedup([(r[0], r[1]) for r in rows[1]])
+    assert [(r[0], r[1], r[2], r[3]) for r in rows[2]] == [(r[0], text[r[0]], r[2], r[3]) for r in rows[1]]
+    assert all(r[4] == (r[4] if text[r[0]] == r[1] else len(text[r[0]])) for r in rows[2])
+    want = brute_components([r[1] for r in rows[2]], 80)
+    assert rows[3] == [rows[2][i] for i, _, _, k in want if k]
+    n = Counter(rows[4])
+    assert set(n) <= set(rows[3])
+    held_to_tilted_rates([(r[3], len([w for w in re.split("[ \t\n\x0b\x0c\r]+", r[1] or "") if w]), n[r]) for r in rows[3]])
     lib = Tokenizer.from_file(WORDS)
-    assert {(r.doc_id, tuple(r.ids)) for r in held[5].collect()} == {(r.doc_id, tuple(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in held[4].collect()}
+    ids = {r[0]: lib.encode(r[1] or "", add_special_tokens=False).ids for r in rows[4]}
+    got = held[5].collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows[4])
+    for r in got:
+        assert list(r.ids) == ids[r.doc_id] and r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(lib.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_nnpu_risk_brute():
+    rng, signs = np.random.default_rng(2), set()
+    for prior, shift in ((0.3, 0.0), (0.9, 0.0), (0.8, 6.0)):  # the last has a negative second term
+        fp, fu = rng.normal(1 + shift, 1, 40), rng.normal(-shift, 1, 70)
+        plus = [math.log1p(math.exp(-x)) for x in fp]
+        part = sum(math.log1p(math.exp(x)) for x in fu) / 70 - prior * sum(math.log1p(math.exp(x)) for x in fp) / 40
+        risk, gp, gu = quality_classifier.nnpu_risk(fp, fu, prior)
+        assert risk == pytest.approx(prior * sum(plus) / 40 + max(0, part))
+        signs.add(part < 0)
+        # the gradient of the risk where it is not clipped, else of the clipped term the other way
+        goal = lambda p, u: (prior * np.logaddexp(0, -p).mean() if part >= 0 else 0) + (1 if part >= 0 else -1) * (np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())  # noqa: B023, E731
+        for i in range(5):
+            step = np.eye(40)[i] * 1e-6
+            assert gp[i] == pytest.approx((goal(fp + step, fu) - goal(fp - step, fu)) / 2e-6, abs=1e-7)
+            step = np.eye(70)[i] * 1e-6
+            assert gu[i] == pytest.approx((goal(fp, fu + step) - goal(fp, fu - step)) / 2e-6, abs=1e-7)
+    assert signs == {False, True}
+
+
+def test_prior_and_model_need_no_negatives(spark):
+    rng = np.random.default_rng(4)
+    positive = rng.normal(2, 1, (900, 6))
+    for share in (0.3, 0.7):
+        unlabelled = np.where(rng.random((3000, 1)) < share, rng.normal(2, 1, (3000, 6)), rng.normal(-2, 1, (3000, 6)))
+        assert quality_classifier.estimate_prior(positive, unlabelled) == pytest.approx(share, abs=0.06)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality_classifier.train(docs, labels), quality_classifier.train(docs.repartition(3), labels.where("quality = 1"))
+    assert a["prior"] == b["prior"] and all((x == y).all() for p, q in zip(a["layers"], b["layers"]) for x, y in zip(p, q))
+
+
+def test_classifier_odd_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.train(docs.unionByName(docs.limit(20)), labels.unionByName(labels))
+    odd = documents(spark, [*ODD, "word " * 400_000]).unionByName(documents(spark, ODD)).withColumn("doc_id", F.when(F.col("doc_id") > 5, F.col("doc_id")))
+    got = quality_classifier.score_quality(odd, model).collect()
+    assert len(got) == 2 * len(ODD) + 1 and all(r.held_out for r in got if r.doc_id is None) and all(0 <= r.score <= 1 for r in got)
+    assert quality_classifier.score_quality(odd.where("false"), model).count() == 0
+
+
+def test_word_hashes_tell_pattern_words_apart():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+        both = pa.array([word, word.translate({97: 98, 98: 97})])
+        hashes, counts = shingles.word_hashes(*shingles.raw_bytes(both))
+        assert counts.tolist() == [1, 1] and hashes[0] != hashes[1]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aB é\n\t") for _ in range(rng.randrange(60))) for _ in range(400)] + [None, "", "x" * 100]
+    words = [[w for w in re.split("[ \t\n\x0b\x0c\r]+", (t or "").replace("B", "b")) if w] for t in texts]
+    for chunk in (64, 1 << 20):
+        shingles_chunk, shingles.CHUNK = shingles.CHUNK, chunk
+        try:
+            hashes, counts = shingles.word_hashes(*shingles.raw_bytes(pa.array(texts)))
+        finally:
+            shingles.CHUNK = shingles_chunk
+        told = dict(zip([w for ws in words for w in ws], hashes.tolist()))
+        assert counts.tolist() == list(map(len, words)) and [told[w] for ws in words for w in ws] == hashes.tolist() and len(set(told.values())) == len(told)
