@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import aliases, categorize, channels, harvest, numeric, search
-from gristmill.plans import catalog
+from gristmill.operators import aliases, categorize, channels, embed, harvest, numeric, search
+from gristmill.plans import catalog, files
 from gristmill.sources import catalog as sources
 from gristmill.sources import sinks
 from gristmill.streaming.harvest import stream_key_counts
@@ -147,3 +147,29 @@ def test_streaming_counts(spark, tmp_path):
     stream = spark.readStream.schema("i long, c string").parquet(str(tmp_path / "in"))
     stream_key_counts(stream, "c", "i", "key_counts", str(tmp_path / "cp")).awaitTermination(60)
     assert {r.key: r["count"] for r in spark.table("key_counts").collect()} == {"a": 2, "b": 1}
+
+
+def test_files_and_command_line(spark, tmp_path, capsys):
+    from gristmill.__main__ import main
+
+    rows(spark).drop("row_id").coalesce(1).write.csv(str(tmp_path / "c"), header=True, quote='"', escape='"')
+    at, out = str(tmp_path / "c"), str(tmp_path / "out")
+    common = ["--catalog", at, "--min-support", "1"]
+    assert main(["harvest", "--catalog", at, "--out", out], spark) == 0
+    assert main(["mine", *common, "--out", f"{out}/dry", "--dry-run"], spark) == 0 and not (tmp_path / "out/dry/alias_map.enriched.json").exists()
+    assert main(["mine", *common, "--out", f"{out}/mined"], spark) == 0
+    report = spark.read.csv(f"{out}/mined/spec_key_report.csv", header=True)
+    assert report.columns == files.REPORT and [int(r["count"]) for r in report.collect()] == sorted((int(r["count"]) for r in report.collect()), reverse=True)
+    assert spark.read.csv(f"{out}/mined/raw_keys.csv", header=True).first().key == "Wheel Diameter"
+    assert [r.id for r in sources.read_fields(spark, f"{out}/mined/fields.semantic.json").orderBy("ord").collect()] == [r.id for r in report.collect()]
+    for name in ("accepted", "blocked", "orphans"):
+        assert (tmp_path / f"out/mined/audit/{name}.jsonl").exists()
+    assert main(["index", *common, "--out", f"{out}/index", "--dims", "32"], spark) == 0
+    index = files.read_index(spark, f"{out}/index", embed.hash_embedder(32))
+    again = catalog.build_index(sources.read_catalog(spark, at), catalog.mine(sources.read_catalog(spark, at), min_support=1), embed.hash_embedder(32))
+    for part in ("meta", "vectors", "numbers", "aliases", "schema"):
+        a, b = getattr(index, part).drop("ord"), getattr(again, part).drop("ord")
+        assert sorted(map(repr, a.select(sorted(a.columns)).collect())) == sorted(map(repr, b.select(sorted(a.columns)).collect())), part
+    capsys.readouterr()
+    assert main(["search", "--index", f"{out}/index", "--dims", "32", "--query", "caster wheel diameter 4 in", "--k", "1"], spark) == 0
+    assert "Swivel Caster" in capsys.readouterr().out
