@@ -81,8 +81,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     """``(k, n, h1, h2, roots, sketch)``: size and hash of each text's set, its root tokens, and 16 bits of each token."""
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
+        shingles.let_go()
         for whole in batches:
             for b in shingles.pieces(whole, 1):
                 hashes, counts = shingles.text_sets(b.column(1), width)
@@ -127,6 +126,7 @@ def sketches(column: pa.Array) -> np.ndarray:
 
 def small_node_links(batches, least: float):
     """Rows ``(path, k, sketch)`` sorted by path, at most ``SMALL`` a path: links between documents with ``least`` of the sketch places equal."""
+    shingles.let_go()
     held, union = None, Union()
 
     def compare(path, k, sketch):
@@ -283,8 +283,7 @@ def full_sets(docs: DataFrame, members: DataFrame, width: int, id_col: str, text
     """``members`` with ``set binary``: the sorted shingle hashes of document ``k``'s text."""
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
+        shingles.let_go()
         seen: set = set()  # of a task; what other tasks repeat is compared twice, to no harm
         for whole in batches:
             for b in shingles.pieces(whole, whole.num_columns - 1):
@@ -330,6 +329,7 @@ def near_components(docs: DataFrame, threshold: float = 0.85, width: int = 5, id
         held = cut(full_sets(docs, placed, width, id_col, text_col))
 
     def within(batches):
+        shingles.let_go()
         union = Union()
         by_group(batches, 2, lambda rows: group_links([r[0].as_py() for r in rows], [as_set(r[1]) for r in rows], union, num, den))
         yield union.batch()
@@ -376,6 +376,7 @@ def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
     sides = base.where("fringe").select("cid", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "k", "label", "fringe", "set")
 
     def meet(batches):
+        shingles.let_go()
         union = Union()
 
         def one(rows):

@@ -184,6 +184,7 @@ def _featured(df: DataFrame) -> np.ndarray:
     """A row of features for each row ``(t)``."""
 
     def run(batches):
+        shingles.let_go()
         for whole in batches:
             for b in shingles.pieces(whole, 0):
                 yield pa.RecordBatch.from_arrays([shingles.lists(features(b.column(0)))], ["x"])
@@ -226,6 +227,7 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.3, id_col:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        shingles.let_go()
         for whole in batches:
             for b in shingles.pieces(whole, 2):
                 s = score_texts(b.column(2), shipped.value)
@@ -242,6 +244,7 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: st
     at = names.index(text_col)
 
     def run(batches):
+        shingles.let_go()
         for whole in batches:
             for b in shingles.pieces(whole, at):
                 yield b.filter(pa.array(score_texts(b.column(at), shipped.value) >= threshold))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,6 +34,19 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 PLACES = seeds(5, 23) | U(1)
 
 
+def let_go() -> None:
+    """Give back what a worker process keeps of earlier tasks: a tokenizer, functions pickled by value, and memory that its allocators hold free."""
+    if sys.__dict__.pop("_gristmill_tokenizers", None) is not None:
+        gc.unfreeze()
+    gc.collect()
+    gc.freeze()  # what is left is not searched again by each task
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)`` of a string array; a null has no bytes."""
     if texts.null_count:

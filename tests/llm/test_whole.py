@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import itertools
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import license_scan, minhash, mixing, queries
@@ -70,3 +72,45 @@ def test_license_texts_and_proprietary_notices(spark):
     got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
     assert [got[i].license for i in range(len(named))] == [n for n, _ in named] and got[len(named)].license == "Proprietary"
     assert queries.op10_license_scan_all(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_license_whole_texts(spark):
+    around = "\n".join(f"some other line number {i} of a longer document" for i in range(60))
+    named = license_scan.TEXTS
+    texts = [f"{around}\n{t}\n{around}" for _, t in named] + [" ".join(t.split()) for _, t in named[:3]]
+    cut = named[1][1]
+    texts += [cut[: len(cut) // 3], around * 40]
+    df = spark.createDataFrame([*enumerate(texts), (None, named[0][1]), (None, named[0][1])], "doc_id long, text string").withColumn("runs", F.lit("clash"))
+    scanned = license_scan.scan_licenses(df, templates=license_scan.TEXTS).collect()
+    got = {r.doc_id: r for r in scanned}
+    for i, (name, _) in enumerate(named):
+        assert (got[i].license, got[i].line > 55, got[i].n_hits >= 1) == (name, True, True) and got[i].dice > 0.97, name
+    assert [got[len(named) + i].license for i in range(3)] == [n for n, _ in named[:3]]
+    assert got[len(texts) - 2].license is None and got[len(texts) - 1].license is None
+    assert sum(r.doc_id is None and r.license == "Apache-2.0" for r in scanned) == 2
+    assert license_scan.scan_licenses(df.where("false")).count() == 0
+
+
+def test_license_runs_by_hand(spark):
+    """Runs of words against a long template, by trying every run."""
+    words = [f"w{i}" for i in range(900)]
+    template = ("T", " ".join(words))
+    pairs = lambda w: {*zip(w, w[1:])}
+    other = [f"x{i}" for i in range(300)]
+    noisy = [w if i % 15 else "zz" for i, w in enumerate(words)]
+    cases = [[*other, *words[50:], *other], [*other, *noisy, *other], words[:500], [*words[:450], *other[:45], *words[450:]], [*words[:450], *other, *words[450:]], [*other[:9], *words[300:], *words[:300]]]
+    df = spark.createDataFrame([(i, " ".join(c)) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df, templates=(template,)).collect()}
+
+    def best(w):
+        """The highest coefficient of any run of words, none of whose pairs repeats."""
+        hits = [0, *itertools.accumulate(p in pairs(words) for p in zip(w, w[1:]))]
+        return max(2 * (hits[j] - hits[i]) / (j - i + 899) for i in range(len(w) - 1) for j in range(i + 1, len(w)))
+
+    for i, case in enumerate(cases):
+        if (top := best(case)) >= 0.8:
+            # the run of the largest sum reaches the threshold where any does; its own coefficient may be a little below the highest
+            assert top + 1e-6 >= got[i].dice >= 0.8 and got[i].dice == pytest.approx(top, abs=0.02) and got[i].n_hits == 1 and got[i].license == "T"
+        else:
+            assert got[i].dice == 0.0 and got[i].n_hits == 0
+    assert sum(got[i].n_hits for i in got) >= 4
