@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -114,3 +115,22 @@ def test_license_runs_by_hand(spark):
         else:
             assert got[i].dice == 0.0 and got[i].n_hits == 0
     assert sum(got[i].n_hits for i in got) >= 4
+
+
+def test_large_group_recall_with_production_settings(spark):
+    """1,800 drifting copies of one text (nodes of the trees hold more than SMALL of them) against brute force over all pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    held = [[word() for _ in range(120)]]
+    while len(held) < 1800:
+        w = list(held[max(0, len(held) - 1 - int(rng.expovariate(0.005)))])
+        for _ in range(rng.choice((1, 1, 2, 2, 3))):
+            w[rng.randrange(len(w))] = word()
+        held.append(w)
+    texts = [" ".join(w) for w in held]
+    want = {i: c for i, _, c, _ in brute_components(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_components(df).collect()}
+    right = sum(got[i] == want[i] for i in want)
+    print(f"documents {len(texts)}, groups {len(set(want.values()))}, in the group of brute force {right}")
+    assert minhash.SMALL == 200 and len(set(want.values())) < 1500 and right >= 0.99 * len(texts)
