@@ -80,6 +80,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
 
 def with_shares(m: DataFrame) -> DataFrame:
+    """``m``, as ``measures`` gives it, with what the rules look at; measures are written to the shared folder first, as each is read many times."""
+    m = cut(m)
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return m.select(
         "*", per("n_symbols", "n_words").alias("symbols_per_word"), per("n_dup_lines", "n_lines").alias("dup_line_share"), per("n_repeat_words", "n_words").alias("repeat_share"), per("word_chars", "n_words").alias("chars_per_word"),
@@ -143,7 +145,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
     Not kept: documents that fail the base rules, or a rule at the cutoffs certified for their
     stratum.  Repeated rows and null ids give a row each; a null id has no label.
     """
-    shares = cut(with_shares(measures(docs, id_col, text_col, stratum_col)).withColumn("step", rejecting_step(rules)))
+    shares = with_shares(measures(docs, id_col, text_col, stratum_col)).withColumn("step", rejecting_step(rules))
     certified = cut(certified_steps(shares, labels, risk, delta, rules)).select("stratum", F.col("step").alias("certified"))
     out = shares.join(certified, "stratum", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("step") > F.col("certified"), F.lit(True))
