@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with the odd cases each defines."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -505,3 +506,21 @@ def test_word_hashes_tell_pattern_words_apart():
             shingles.CHUNK = shingles_chunk
         told = dict(zip([w for ws in words for w in ws], hashes.tolist()))
         assert counts.tolist() == list(map(len, words)) and [told[w] for ws in words for w in ws] == hashes.tolist() and len(set(told.values())) == len(told)
+
+
+def test_tokenizer_refuses_unknown_parts():
+    spec = json.loads(open(WORDS, "rb").read())
+    bpe.refuse_unknown(spec), bpe.refuse_unknown(json.loads(open(BYTES, "rb").read()))
+    changes = [("model", spec["model"] | {"type": "WordPiece"}), ("model", spec["model"] | {"byte_fallback": True}), ("normalizer", {"type": "NFKC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("post_processor", {"type": "TemplateProcessing"}), ("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])]
+    for key, value in changes:
+        with pytest.raises(ValueError):
+            bpe.refuse_unknown(spec | {key: value})
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(open(BYTES, "rb").read()).decode([1])
+
+
+def test_bpe_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    for got in (bpe.round_trip_digests(df, WORDS), bpe.token_counts(df, BYTES)):
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == 4 and rows[0] == rows[1] and rows[2][0] is None and rows[2][1:] == rows[0][1:] and rows[3][0] is None

@@ -134,3 +134,10 @@ def test_large_group_recall_with_production_settings(spark):
     right = sum(got[i] == want[i] for i in want)
     print(f"documents {len(texts)}, groups {len(set(want.values()))}, in the group of brute force {right}")
     assert minhash.SMALL == 200 and len(set(want.values())) < 1500 and right >= 0.99 * len(texts)
+
+
+def test_minhash_very_long_texts(spark):
+    long = " ".join(f"w{i % 70_001}x{i % 13}" for i in range(400_000))
+    texts = [long, long + " end", long[: len(long) // 2], "x" * 3_000_000, "x" * 2_999_999, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_components(df).collect())) == brute_components(texts)
