@@ -428,22 +428,27 @@ def hybrid_search(spark, sf_dir, pull=PULL):
 DEPTH = max(search.SearchOptions().pull, 50 * search.SearchOptions().k)
 
 
-@query(None)
+def deep(name: str) -> str:
+    """The SQL of a query above with lists of ``DEPTH`` rows and the whole pool."""
+    return SQL[name].replace(f"rank <= {PULL})", f"rank <= {DEPTH})").replace("place <= 30)", f"place <= {search.SearchOptions().semantic_pool})")
+
+
+@query(deep("cosine_topk"))
 def cosine_topk_deep(spark, sf_dir):
     return cosine_topk(spark, sf_dir, DEPTH)
 
 
-@query(None)
+@query(deep("dual_query_blend"))
 def dual_query_blend_deep(spark, sf_dir):
     return dual_query_blend(spark, sf_dir, DEPTH)
 
 
-@query(None)
+@query(deep("candidate_union"))
 def candidate_union_deep(spark, sf_dir):
     return candidate_union(spark, sf_dir, DEPTH, search.SearchOptions().semantic_pool)
 
 
-@query(None)
+@query(deep("hybrid_search"))
 def hybrid_search_deep(spark, sf_dir):
     return hybrid_search(spark, sf_dir, DEPTH)
 
