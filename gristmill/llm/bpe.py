@@ -146,22 +146,33 @@ def segment_merge_many(words: list[list[int]], table: RankTable, merged: np.ndar
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
             level //= 2
-        while len(rows := rows[tree[rows, 1] < end]):
-            root = tree[rows, 1]
+        # the arrays as one row each: places of a word's row are counted from its own start
+        flat, at, to_left, to_right = tree.ravel(), ids.ravel(), left.ravel(), right.ravel()
+        own, top = rows * width, rows * (2 * width)
+        while True:
+            root = flat[top + 1]
+            alive = root < end
+            if not alive.all():
+                own, top, root = own[alive], top[alive], root[alive]
+            if not len(own):
+                break
             i = root & mask
-            j, h = right[rows, i], left[rows, i]
-            k = right[rows, j]
+            j, h = to_right[own + i], to_left[own + i]
+            k = to_right[own + j]
             new = merged[root >> shift]
-            ids[rows, i], ids[rows, j], right[rows, i] = new, -1, k
-            left[rows, k] = i
-            at_i, at_h = table(new, ids[rows, k]), table(ids[rows, h], new)
-            for leaf, value in ((j, None), (i, at_i), (h, at_h)):
-                node = width + leaf
-                tree[rows, node] = end if value is None else np.where(value < 0, end, value << shift | leaf)
-                node = node >> 1
-                while node[0]:
-                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-                    node = node >> 1
+            at[own + i], at[own + j], to_right[own + i] = new, -1, k
+            to_left[own + k] = i
+            after, before = table(new, at[own + k]), table(at[own + h], new)
+            node = [top + width + j, top + width + i, top + width + h]
+            flat[node[0]] = end
+            flat[node[1]] = np.where(after < 0, end, after << shift | i)
+            flat[node[2]] = np.where(before < 0, end, before << shift | h)
+            up = [width + j, width + i, width + h]
+            for _ in range(shift - 1):  # from the leaves to the root
+                up = [x >> 1 for x in up]
+                for x in up:
+                    child = top + 2 * x
+                    flat[top + x] = np.minimum(flat[child], flat[child + 1])
         kept = ids >= 0
         flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
         start = 0
@@ -252,17 +263,43 @@ def odd_blank(text: str) -> bool:
     return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
 
+BYTE_PATTERN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+BLANKS_AS_ONE = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+
+
+def refuse_unknown(spec: dict) -> None:
+    """Raise on anything in a tokenizer file that ``Tokenizer`` doesn't do as the library does."""
+    model, odd = spec["model"], []
+    odd += [f"model {model['type']}"] * (model["type"] != "BPE")
+    odd += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    normal = spec.get("normalizer")
+    steps = [] if normal is None else normal.get("normalizers", [normal])
+    odd += [f"normalizer {x}" for x in steps if x["type"] not in ("NFC", "Lowercase") and x != BLANKS_AS_ONE]
+    pre = spec["pre_tokenizer"]
+    split = pre.get("pretokenizers", [{}, {}])
+    words = [{k: v for k, v in split[0].items() if k != "pattern"}, *split[1:]]
+    if pre != BYTE_PATTERN and words != [{"type": "Split", "behavior": "Removed", "invert": True}, BYTE_PATTERN | {"use_regex": False}]:
+        odd.append(f"pre_tokenizer {pre}")
+    odd += [f"added token {t['content']}" for t in spec.get("added_tokens") or [] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    odd += [k for k in ("post_processor",) if spec.get(k)]
+    if odd:
+        raise ValueError("tokenizer file with unsupported parts: " + "; ".join(odd))
+
+
 class Tokenizer:
     """A BPE file of the ``tokenizers`` library with byte-level symbols.
 
     Supports what the public files use: NFC, blank folding and lower case as normalisers,
     a split pattern or the byte-level one, an optional word-end suffix, and added tokens,
-    which are matched in the raw text as the library does by default.
+    which are matched in the raw text as the library does by default.  Decoding is that of a
+    file without a decoder.  Anything else is refused.
     """
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
+        refuse_unknown(spec)
         model = spec["model"]
+        self.decodes = spec.get("decoder") is None
         self.vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.tokens = {i: t for t, i in self.vocab.items()}
@@ -276,8 +313,10 @@ class Tokenizer:
         self.last_ids = [self.vocab[c + self.suffix] for c in byte_chars()]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.tokens.update({i: t for t, i in self.added.items()})
+        self.decimals = {i: str(i) for i in self.tokens}
         self.split_added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        normal = spec.get("normalizer")
+        kinds = [] if normal is None else [x["type"] for x in normal.get("normalizers", [normal])]
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         pre = spec["pre_tokenizer"]
         self.words_only = pre["type"] == "Sequence"
@@ -309,8 +348,11 @@ class Tokenizer:
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """Of a piece without white space: decimal ids and token strings, each joined by a blank."""
-        ids = [i for w in self.pattern.findall(chunk) for i in self.ids_of_word[w]]
-        return " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
+        return self._joined_words(self.pattern.findall(chunk))
+
+    def _joined_words(self, words: list[str]) -> tuple[str, str]:
+        ids = self.ids_of_word[words[0]] if len(words) == 1 else [i for w in words for i in self.ids_of_word[w]]
+        return " ".join(map(self.decimals.__getitem__, ids)), " ".join(map(self.tokens.__getitem__, ids))
 
     def _normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
@@ -324,20 +366,24 @@ class Tokenizer:
                 text = text.translate(NEW_CAPITALS)
         return text
 
-    def warm(self, texts: list[str]) -> None:
-        """Encode the words of ``texts`` that aren't remembered, many at a time."""
+    def warm(self, texts: list[str], strings: bool = False) -> None:
+        """Encode the words of ``texts`` that aren't remembered, many at a time; ``strings``: and join their ids and tokens."""
         if self.table is None:
             self.table, self.merged_array = RankTable(self.ranks), np.array(self.merged, np.int64)
         chunks: set[str] = set()
         for t in texts:
             chunks.update(self._normal(t).split())
-        known = self.ids_of_word
-        words = {w for c in chunks if c not in self.chunk for w in self.pattern.findall(c) if 1 < len(w) <= LONG // 2 and w not in known}
-        new = [w for w in words if w not in known.old]
+        known, find = self.ids_of_word, self.pattern.findall
+        fresh = [(c, find(c)) for c in chunks if c not in self.chunk and c not in self.chunk.old]
+        new = [w for w in {w for _, ws in fresh for w in ws} if 1 < len(w) <= LONG // 2 and w not in known and w not in known.old]
         symbols = [self.symbols(w) for w in new]
         short = [k for k, x in enumerate(symbols) if len(x) < LONG]
         for k, ids in zip(short, segment_merge_many([symbols[k] for k in short], self.table, self.merged_array)):
             known.put(new[k], tuple(ids))
+        if strings and self.words_only:
+            for c, ws in fresh:
+                if len(c) <= LONG:
+                    self.chunk.put(c, self._joined_words(ws))
 
     def _segments(self, text: str) -> list[str]:
         """Ordinary text at even places, added tokens at odd ones."""
@@ -355,6 +401,8 @@ class Tokenizer:
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by a blank, as the library does for a file without a decoder."""
+        if not self.decodes:
+            raise ValueError("a file with a decoder is encoded and counted only")
         return " ".join(map(self.tokens.__getitem__, ids))
 
     def joined(self, text: str) -> tuple[str, str]:
@@ -367,11 +415,12 @@ class Tokenizer:
                 continue
             part = self._normal(part)
             if self.words_only and not odd_blank(part):
-                pieces = [*map(self.chunk.__getitem__, part.split())]
+                pieces = map(self.chunk.__getitem__, part.split())
             else:
-                pieces = [self._chunk(w) for w in self.pattern.findall(part)]
-            ids += [p[0] for p in pieces if p[0]]
-            tokens += [p[1] for p in pieces if p[0]]
+                pieces = [self._joined_words([w]) for w in self.pattern.findall(part)]
+            for i, t in pieces:
+                ids.append(i)
+                tokens.append(t)
         return " ".join(ids), " ".join(tokens)
 
     def count(self, text: str) -> int:
@@ -491,7 +540,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         for b in batches:
             ns, ids, outs = [], [], []
             for texts in runs(b.column(1)):
-                tok.warm(texts)
+                tok.warm(texts, strings=True)
                 for t in texts:
                     i, d = tok.joined(t)
                     ns.append(i.count(" ") + 1 if i else 0)
