@@ -1 +1,10 @@
-"""gristmill: catalog attribute mining, hybrid search and corpus preparation on Spark DataFrames."""
+"""Catalog attribute mining and hybrid search on Spark.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
