@@ -11,7 +11,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.text import looks_like_sku, object_query, parse_number, sku_form, strip
 from ..functions.values import proximity, to_canonical, tolerance
@@ -44,45 +43,111 @@ def unit_vector(v: Column) -> Column:
     return F.transform(v.cast("array<double>"), lambda x: x / norm)
 
 
-@F.pandas_udf(DoubleType())
-def sku_ratio(query: pd.Series, text: pd.Series) -> pd.Series:
-    """Matching-block ratio of the standard library, which is no edit distance."""
-    out, match = [], difflib.SequenceMatcher()
-    for q, t in zip(query, text):
-        match.set_seq2(q)
-        match.set_seq1(t)
-        out.append(match.ratio())
-    return pd.Series(out, dtype="float64")
+SKU_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
-def char_tokens(text: Column) -> Column:
-    """Each character with its number of occurrences so far, high numbers first: tokens that two texts share count what they share as multisets."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    nth = lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))
-    return F.array_sort(F.transform(chars, lambda c, i: F.concat(F.lpad((F.lit(100) - nth(c, i)).cast("string"), 3, "0"), c)))
+class SkuBlock:
+    """Normal forms, of which a query gets those with the best matching-block ratio (``difflib``'s, which is no edit distance).
 
+    Matching blocks are a common subsequence, and its characters are common as multisets.  So forms are looked at
+    by what their multiset allows, a class of equal multisets at once, then by their longest common subsequence,
+    and are scored only while they may still be among the best.
+    """
 
-def sku_matches(queries: DataFrame, meta: DataFrame, n: int = 1, cutoff: float = 0.70, decompose: bool = True) -> DataFrame:
+    def __init__(self, norms: list[str], ids: list[int]):
+        import numpy as np
+
+        order = sorted(range(len(norms)), key=norms.__getitem__, reverse=True)
+        self.norms, self.ids = [norms[i] for i in order], [ids[i] for i in order]
+        self.sizes = np.array([len(x) for x in self.norms])
+        place = np.full(256, len(SKU_SIGNS), np.uint8)
+        place[list(SKU_SIGNS.encode())] = np.arange(len(SKU_SIGNS))
+        self.codes = place[np.frombuffer(b"".join(x.encode().ljust(self.sizes.max()) for x in self.norms), np.uint8)].reshape(len(norms), -1)
+        counts = np.stack([(self.codes == c).sum(1) for c in range(len(SKU_SIGNS))], 1).astype(np.uint8)
+        self.classes, own = np.unique(counts, axis=0, return_inverse=True)
+        self.members = np.argsort(own.ravel(), kind="stable")
+        self.edges = np.searchsorted(own.ravel()[self.members], np.arange(len(self.classes) + 1))
+        self.class_sizes = self.classes.sum(1, dtype=np.int64)
+
+    def common(self, q: str, rows):
+        """Lengths of longest common subsequences, a bit for each character of the query."""
+        import numpy as np
+
+        masks = np.zeros(len(SKU_SIGNS) + 1, np.uint64)
+        for i, c in enumerate(q):
+            masks[SKU_SIGNS.index(c)] |= np.uint64(1 << i)
+        v = np.full(len(rows), (1 << len(q)) - 1, np.uint64)
+        for column in masks[self.codes[rows].T]:
+            u = v & column
+            v = (v + u) | (v - u)
+        return len(q) - np.bitwise_count(v & np.uint64((1 << len(q)) - 1)).astype(np.int64)
+
+    def best(self, q: str, n: int, cutoff: float) -> list[tuple[float, str, int]]:
+        """``(ratio, norm, row_id)``, the best ``n`` by ratio, then by norm, both falling."""
+        import numpy as np
+
+        of_q = np.array([q.count(c) for c in SKU_SIGNS], np.uint8)
+        bound = 2.0 * np.minimum(self.classes, of_q).sum(1, dtype=np.int64) / (self.class_sizes + len(q))
+        levels = np.unique(bound[bound >= cutoff])[::-1]
+        got: list[tuple[float, str, int]] = []
+        match = difflib.SequenceMatcher()
+        match.set_seq2(q)
+        rows, most = np.empty(0, np.int64), np.empty(0)
+        for i, level in enumerate(levels):
+            if len(got) == n and got[-1][0] > level:
+                break
+            new = np.concatenate([self.members[self.edges[c] : self.edges[c + 1]] for c in np.flatnonzero(bound == level)])
+            rows, most = np.concatenate([rows, new]), np.concatenate([most, 2.0 * self.common(q, new) / (self.sizes[new] + len(q))])
+            now = most >= max(cutoff, levels[i + 1] if i + 1 < len(levels) else cutoff)
+            for at in np.flatnonzero(now)[np.lexsort((rows[now], -most[now]))]:
+                row, norm = rows[at], self.norms[rows[at]]
+                if len(got) == n and most[at] < got[-1][0]:
+                    break
+                if len(got) == n and most[at] == got[-1][0] and norm < got[-1][1]:
+                    continue
+                match.set_seq1(norm)
+                ratio = match.ratio()
+                if ratio >= cutoff:
+                    got = sorted([*got, (ratio, norm, self.ids[row])], reverse=True)[:n]
+            rows, most = rows[~now], most[~now]
+        return got
+
+
+def sku_matches(queries: DataFrame, meta: DataFrame, n: int = 1, cutoff: float = 0.70, decompose: bool = True, block_rows: int = 1 << 18) -> DataFrame:
     """``(query_id, rank, row_id, norm, ratio)``: up to ``n`` rows by SKU likeness for queries that look like one.
 
-    Of rows with one normal form the first counts.  A ratio of ``cutoff`` needs that many characters in
-    common, as multisets; so a pair must share one of the first tokens of either text in one order, as many
-    as it may lack and one more, which is what is joined on.  The count in common is then tested, and only what is left is scored.
+    Of rows with one normal form the first counts.  Forms are dealt to blocks and queries to slices; a task finds
+    the best of one block for each query of one slice (see ``SkuBlock``), and these are ranked again.
     """
     longest = int(24 * (2 - cutoff) / cutoff + 1e-9)  # queries have 24 characters at most
-    forms = meta.select("row_id", sku_form(F.col("sku"), decompose).alias("norm")).where(F.length("norm").between(1, longest)).groupBy("norm").agg(F.min("row_id").alias("row_id")).withColumn("tokens", char_tokens(F.col("norm")))
-    asked = queries.where(looks_like_sku(F.col("text"), decompose)).select("query_id", sku_form(F.col("text"), decompose).alias("q")).withColumn("q_tokens", char_tokens(F.col("q")))
-
-    def first_tokens(df: DataFrame, tokens: str) -> DataFrame:
-        size = F.size(tokens)
-        need = F.ceil((size + F.ceil(size * F.lit(cutoff / (2 - cutoff)) - 1e-9)) * F.lit(cutoff / 2) - 1e-9)
-        return df.withColumn("t", F.explode(F.slice(tokens, 1, F.greatest(size - need + 1, F.lit(1)).cast("int"))))
-
-    low, high = F.size("q_tokens") * F.lit(cutoff / (2 - cutoff)) - 1e-9, F.size("q_tokens") * F.lit((2 - cutoff) / cutoff) + 1e-9
-    met = first_tokens(asked, "q_tokens").join(first_tokens(forms, "tokens"), "t").where(F.size("tokens").between(low, high)).drop("t")
-    common = F.size(F.array_intersect("q_tokens", "tokens"))
-    likely = met.where(2 * common >= cutoff * (F.size("tokens") + F.size("q_tokens")) - 1e-9).select("query_id", "q", "row_id", "norm").distinct()
-    near = likely.withColumn("ratio", sku_ratio("q", "norm")).where(F.col("ratio") >= cutoff)
+    forms = hold(meta.select("row_id", sku_form(F.col("sku"), decompose).alias("norm")).where(F.length("norm").between(1, longest)).groupBy("norm").agg(F.min("row_id").cast("long").alias("row_id")))
+    asked = hold(queries.where(looks_like_sku(F.col("text"), decompose)).select(F.col("query_id").cast("long").alias("query_id"), sku_form(F.col("text"), decompose).alias("q")))
+    blocks = max(1, -(-forms.count() // block_rows))
+    slices = max(1, min(-(-4 * queries.sparkSession.sparkContext.defaultParallelism // blocks), asked.count() // 16))
+    dealt_to = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tile = (F.col("block") * slices + F.col("slice")).cast("int").alias("tile")
+    f = forms.withColumn("block", dealt_to(blocks, "norm")).withColumn("slice", every(slices)).select(tile, F.lit(0).alias("kind"), F.col("row_id").alias("id"), F.col("norm").alias("text"))
+    a = asked.withColumn("slice", dealt_to(slices, "query_id")).withColumn("block", every(blocks)).select(tile, F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, norms, ids, block = None, [], [], None
+        for b in batches:
+            out = []
+            for t, kind, i, text in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if t != key:
+                    key, norms, ids, block = t, [], [], None
+                if kind == 0:
+                    norms.append(text), ids.append(i)
+                elif norms:
+                    block = block or SkuBlock(norms, ids)
+                    out += [(i, row, norm, ratio) for ratio, norm, row in block.best(text, n, cutoff)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["query_id", "row_id", "norm", "ratio"])
+
+    near = f.unionByName(a).repartitionById(blocks * slices, F.col("tile")).sortWithinPartitions("tile", "kind").mapInArrow(run, "query_id long, row_id long, norm string, ratio double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ratio"), F.desc("norm")))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "row_id", "norm", "ratio")
 

@@ -1,5 +1,6 @@
 """What grows with the tables: rows that meet, plans that repeat a table, tasks that share a small file."""
 
+import difflib
 import random
 
 import pytest
@@ -65,3 +66,16 @@ def test_pairs_of_a_catalog_are_never_broadcast(spark):
     plan = queries.numeric_long(spark, SF)._jdf.queryExecution().executedPlan().toString()
     join = next(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
     assert "BuildRight" in join and "norm" in join
+
+
+def test_sku_block_by_brute_force():
+    """Every form was scored for every query; now few are, with the same best ones and the same ties."""
+    rng = random.Random(3)
+    word = lambda signs, lo, hi: "".join(rng.choice(signs) for _ in range(rng.randint(lo, hi)))
+    for signs, lo, hi in (("01", 1, 12), ("AB0127", 3, 24), (search.SKU_SIGNS, 1, 44), ("A0", 20, 44)):
+        norms = sorted({word(signs, lo, hi) for _ in range(600)})
+        block = search.SkuBlock(norms, list(range(len(norms))))
+        for q in [word(signs, 4, 24) for _ in range(12)] + [x + "7" for x in norms[:8] if 3 < len(x) < 24]:
+            for n, cutoff in ((1, 0.7), (3, 0.7), (5, 0.4)):
+                every = [(difflib.SequenceMatcher(None, x, q).ratio(), x, i) for i, x in enumerate(norms)]
+                assert block.best(q, n, cutoff) == sorted((x for x in every if x[0] >= cutoff), reverse=True)[:n]
