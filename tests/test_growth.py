@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,55 @@ def test_sku_block_by_brute_force():
             for n, cutoff in ((1, 0.7), (3, 0.7), (5, 0.4)):
                 every = [(difflib.SequenceMatcher(None, x, q).ratio(), x, i) for i, x in enumerate(norms)]
                 assert block.best(q, n, cutoff) == sorted((x for x in every if x[0] >= cutoff), reverse=True)[:n]
+
+
+def test_search_finds_only_the_ends_of_lists(spark, monkeypatch):
+    """Lists of three times the shortlist were pulled for each query; the answers stay those of the lists, by brute force."""
+    rng = np.random.default_rng(5)
+    n, o = 1500, search.SearchOptions(k=2, pull=10)
+    size = rng.integers(0, 5, n)
+    size[:2] = 9  # a shortlist on none of the lists
+    vec = {c: rng.integers(0, 3, (n, 4)).astype(np.float64) for c in search.CHANNELS}
+    vec["desc"][:] = 1.0  # all rows tie
+    vec["title"][:2], vec["specs"][:2], vec["title"][5:], vec["specs"][-40:] = 0.0, 0.0, vec["title"][5:] + 0.25, 0.0
+    held = [(i, c, vec[c][i].tolist()) for c in search.CHANNELS for i in range(n) if c != "desc" or i > 1]
+    vectors = spark.createDataFrame(held, "row_id long, channel string, vec array<double>")
+    asks = {q: (rng.integers(0, 4, (2, 4)) + 1.0, [9, 0, 1, 2, 3, 0][q % 6]) for q in range(12)}
+    queries = spark.createDataFrame([(q, f"a part of size {s} in") for q, (_, s) in asks.items()], "query_id long, text string")
+    asked = spark.createDataFrame([(q, v, x.tolist()) for q, (xs, _) in asks.items() for v, x in zip(("full", "obj"), xs)], "query_id long, variant string, vec array<double>")
+    numbers = spark.createDataFrame([(i, "size", float(s)) for i, s in enumerate(size)], "row_id long, field_id string, value double")
+    schema = spark.createDataFrame([("size", "length")], "field_id string, family string")
+    meta = spark.createDataFrame([(i, f"S{i}", "") for i in range(n)], "row_id long, sku string, description string")
+    pulls, block_rows = [], search.block_lists
+    monkeypatch.setattr(search, "rank_lists", lambda q, *a, f=search.rank_lists, **b: (pulls.append(q.agg({"pull": "max"}).first()[0]), f(q, *a, **b))[1])
+    monkeypatch.setattr(search, "block_lists", lambda q, v, c, rows=0, unit=False, components=0: block_rows(q, v, c, 300, unit))
+    monkeypatch.setattr(search, "ID_BITS", 5)
+    got = search.search(queries, asked, meta, vectors, numbers, schema, spark.createDataFrame([("size", "size")], "text string, field_id string"), o).collect()
+    assert all(p is None or p <= 100 for p in pulls)
+    unit = lambda x: x / (np.sqrt((x * x).sum(-1, keepdims=True)) + 1e-12)
+    weights = {"title": o.w_title, "desc": o.w_desc, "specs": o.w_specs}
+    want = []
+    for q, (xs, s) in asks.items():
+        short = np.flatnonzero(abs(size - s) <= 0.0625)
+        sem, met = np.zeros(n), np.zeros(n, bool)
+        for w, x in zip((o.w_full, o.w_obj), xs):
+            for c in search.CHANNELS:
+                ids = np.arange(2 if c == "desc" else 0, n)
+                sim = np.round(unit(vec[c][ids]) @ unit(x), 12)
+                top = np.lexsort((ids, -sim))[: max(100, 3 * len(short))]
+                sem[ids[top]] += w * weights[c] * sim[top]
+                met[ids[top]] = True
+        some = short[met[short]] if met[short].any() else short
+        score = sem[some] + o.w_num
+        order = np.lexsort((some, -np.round(score, 9)))[: o.k]
+        want += [(q, rank, int(some[i]), round(float(score[i]), 6)) for rank, i in enumerate(order, 1)]
+    assert sorted((r.query_id, r["rank"], r.row_id, round(r.score, 6)) for r in got) == want
+
+
+def test_a_form_that_is_there_is_found_without_looking_at_others(spark, monkeypatch):
+    """Every query was held against every form, also one whose own form is among them."""
+    meta = spark.createDataFrame([(i, f"AB-{i}") for i in range(1000, 1100)], "row_id long, sku string")
+    asked = spark.createDataFrame([(i, f"ab{i}") for i in range(1000, 1040)], "query_id long, text string")
+    monkeypatch.setattr(search, "SkuBlock", None)
+    got = search.sku_matches(asked, meta).collect()
+    assert sorted((r.query_id, r.row_id, r.ratio) for r in got) == [(i, i, 1.0) for i in range(1000, 1040)]
